@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenestra.llm import mixing
+from fenestra.llm import langid, licenses, mixing, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,4 +18,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES["op1_mix_sources"] = op1_mix_sources
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_language, op6_licenses)}
