@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenestra.llm import decontaminate, exact, langid, licenses, lines, mixing, oracles, secrets, toxicity
+from fenestra.llm import decontaminate, exact, jaccard, langid, licenses, lines, mixing, oracles, secrets, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,10 +34,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("row")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("row", "keep_row")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.edited_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row", "n_near")
 
@@ -46,5 +54,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op6_licenses, op7_exact_dedup, op9_decontaminate, op10_secrets)}
-ORACLES |= {"op3_line_dedup": oracles.LINES, "op7_exact_dedup": oracles.COPIES, "op9_decontaminate": oracles.LEAKS}
+QUERIES |= {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op5_ngram_jaccard, op6_licenses, op7_exact_dedup, op8_token_counts, op9_decontaminate, op10_secrets)
+}
+ORACLES |= {"op3_line_dedup": oracles.LINES, "op5_ngram_jaccard": oracles.JACCARD, "op7_exact_dedup": oracles.COPIES, "op9_decontaminate": oracles.LEAKS}
