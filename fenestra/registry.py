@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fenestra.plans import facets
+from fenestra.plans import facets, joins, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (facets,):
+for _module in (facets, scalars, joins):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
