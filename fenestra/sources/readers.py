@@ -38,7 +38,7 @@ def csv_quoted(spark: SparkSession, path: str) -> DataFrame:
 def insert_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Rows of INSERT statements in SQL text, as strings: numbers as they are, quoted texts without quotes, NULL as null."""
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*(INSERT\b.*VALUES\s*)?\(")).select(F.explode(F.regexp_extract_all("value", F.lit(r"\(((?:'(?:[^']|'')*'|[^'()])*)\)(?=\s*[,;]|\s*$)"), F.lit(1))).alias("row"))
-    fields = rows.select(F.regexp_extract_all("row", F.lit(r"('(?:[^']|'')*'|[^,]+)"), F.lit(1)).alias("f"))
+    fields = rows.select(F.regexp_extract_all("row", F.lit(r"\s*('(?:[^']|'')*'|[^,]+)"), F.lit(1)).alias("f"))
     value = lambda i: F.trim(F.get("f", F.lit(i)))
     clean = lambda v: F.when(F.upper(v) == "NULL", F.lit(None)).when(F.startswith(v, F.lit("'")), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), "''", "'")).otherwise(v)
     return fields.select(*(clean(value(i)).alias(n) for i, n in enumerate(names)))
