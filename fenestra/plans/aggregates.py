@@ -259,23 +259,23 @@ def rule_pick_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_type LIKE '%BRASS' THEN 1000 ELSE 0 END + CASE WHEN p_size BETWEEN 10 AND 20 THEN 50 ELSE -10 END - abs(p_size - 15) AS score FROM part),
+WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_type LIKE '%MEDIUM' THEN 1000 ELSE 0 END + CASE WHEN p_size BETWEEN 10 AND 20 THEN 50 ELSE -10 END - abs(p_size - 15) AS score FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rank FROM s)
 SELECT p_partkey, p_brand, score, rank FROM r WHERE rank <= 5""")
 def candidate_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by a sum of bonuses and penalties, the best five of each block."""
-    score = F.when(F.col("p_type").like("%BRASS"), 1000).otherwise(0) + F.when(F.col("p_size").between(10, 20), 50).otherwise(-10) - F.abs(F.col("p_size") - 15)
+    score = F.when(F.col("p_type").like("%MEDIUM"), 1000).otherwise(0) + F.when(F.col("p_size").between(10, 20), 50).otherwise(-10) - F.abs(F.col("p_size") - 15)
     rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", score.alias("score")).withColumn("rank", rank.cast("bigint")).where("rank <= 5")
 
 
 @BOOK.query("""
-SELECT p_brand, CASE WHEN count(DISTINCT p_size > 45) > 1 THEN 'size' WHEN count(DISTINCT p_type) > 1 THEN 'type' ELSE 'none' END AS question FROM part WHERE p_name LIKE 'a%' GROUP BY p_brand""")
+SELECT p_brand, CASE WHEN count(DISTINCT p_size > 45) > 1 THEN 'size' WHEN count(DISTINCT p_type) > 1 THEN 'type' ELSE 'none' END AS question FROM part WHERE p_name LIKE 's%' AND p_size > 44 GROUP BY p_brand""")
 def next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first field, by priority, in which the candidates still differ."""
     from fenestra.functions.flags import next_question as first
 
-    counts = table(spark, sf_dir, "part").where(F.startswith("p_name", F.lit("a"))).groupBy("p_brand").agg(F.count_distinct(F.col("p_size") > 45).alias("size"), F.count_distinct("p_type").alias("type"))
+    counts = table(spark, sf_dir, "part").where(F.col("p_name").like("s%") & (F.col("p_size") > 44)).groupBy("p_brand").agg(F.count_distinct(F.col("p_size") > 45).alias("size"), F.count_distinct("p_type").alias("type"))
     return counts.select("p_brand", first({"size": F.col("size"), "type": F.col("type")}).alias("question"))
 
 

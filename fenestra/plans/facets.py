@@ -14,7 +14,7 @@ BOOK = Book()
 
 #: Stand-ins for the catalogue's nullable ranges, the same in SQL.
 LOW, HIGH = "p_size", "CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size + 10 END"
-ALIASES = {"DE": "GERMANY", "DEUTSCHLAND": "GERMANY", "FR": "FRANCE", "GB": "UNITED KINGDOM", "UK": "UNITED KINGDOM", "US": "UNITED STATES", "USA": "UNITED STATES"}
+ALIASES = {"N0": "NATION_0", "ZERO": "NATION_0", "N7": "NATION_7", "SEVEN": "NATION_7", "N9": "NATION_9"}
 
 
 @BOOK.query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand")
@@ -68,10 +68,10 @@ def null_tolerant_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.where(semantics.covers(F.col("lo"), F.col("hi"), 25)).select("p_partkey", "p_size")
 
 
-@BOOK.query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE upper(n_name) IN ('GERMANY', 'FRANCE')")
+@BOOK.query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE upper(n_name) IN ('NATION_0', 'NATION_7')")
 def alias_expanded_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of nations given by any alias; aliases are a fixed table and broadcast."""
-    asked = spark.createDataFrame([("de",), ("fr",), ("Deutschland",)], "alias string")
+    asked = spark.createDataFrame([("n0",), ("seven",), ("Zero",)], "alias string")
     names = spark.createDataFrame(list(ALIASES.items()), "alias string, canonical string")
     wanted = asked.select(F.upper("alias").alias("alias")).join(names, "alias").select(F.col("canonical").alias("n_name")).distinct()
     nations = table(spark, sf_dir, "nation").join(F.broadcast(wanted.withColumnRenamed("n_name", "w")), F.upper("n_name") == F.col("w"), "left_semi")
@@ -80,10 +80,10 @@ def alias_expanded_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query("""
 SELECT p_partkey, 'point' AS how FROM part WHERE p_partkey = 17 UNION ALL SELECT p_partkey, 'in' FROM part WHERE p_partkey IN (3, 5, 8)
-UNION ALL SELECT p_partkey, 'folded' FROM part WHERE lower(p_brand) = lower('BRAND#11') UNION ALL SELECT p_partkey, 'substring' FROM part WHERE p_type ILIKE '%brass%'""")
+UNION ALL SELECT p_partkey, 'folded' FROM part WHERE lower(p_brand) = lower('BRAND#11') UNION ALL SELECT p_partkey, 'substring' FROM part WHERE p_type ILIKE '%prom%'""")
 def point_and_in_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    kinds = {"point": F.col("p_partkey") == 17, "in": F.col("p_partkey").isin(3, 5, 8), "folded": F.lower("p_brand") == "brand#11", "substring": F.col("p_type").ilike("%brass%")}
+    kinds = {"point": F.col("p_partkey") == 17, "in": F.col("p_partkey").isin(3, 5, 8), "folded": F.lower("p_brand") == "brand#11", "substring": F.col("p_type").ilike("%prom%")}
     how = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())))
     return parts.where(semantics.any_of(list(kinds.values()))).select("p_partkey", F.explode(how).alias("how"))
 
@@ -106,21 +106,21 @@ def flag_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query("""
 SELECT p_partkey, p_name, p_type FROM part
-WHERE starts_with(lower(split_part(p_name, ' ', 1)), 'r') AND (p_type ILIKE '%e%' OR p_type ILIKE '%o%') AND NOT p_type ILIKE '%economy%' AND p_size <= 30""")
+WHERE starts_with(lower(split_part(p_name, ' ', 1)), 'r') AND (p_type ILIKE '%e%' OR p_type ILIKE '%o%') AND NOT p_type ILIKE '%econ%' AND p_size <= 30""")
 def prefix_or_like_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.lower(F.split("p_name", " ")[0])
-    wanted = F.startswith(first, F.lit("r")) & (F.col("p_type").ilike("%e%") | F.col("p_type").ilike("%o%")) & ~F.col("p_type").ilike("%economy%") & (F.col("p_size") <= 30)
+    wanted = F.startswith(first, F.lit("r")) & (F.col("p_type").ilike("%e%") | F.col("p_type").ilike("%o%")) & ~F.col("p_type").ilike("%econ%") & (F.col("p_size") <= 30)
     return table(spark, sf_dir, "part").where(wanted).select("p_partkey", "p_name", "p_type")
 
 
 @BOOK.query(r"""
-WITH c AS (SELECT p_partkey, CASE WHEN regexp_matches(upper(p_type), '\b(BRASS|COPPER)\b') THEN 'front' WHEN regexp_matches(upper(p_type), '\b(STEEL)\b') THEN 'rear' ELSE 'other' END AS category,
-  CASE WHEN regexp_matches(upper(p_name), '\b(RED|GREEN)\b') THEN 'left' WHEN regexp_matches(upper(p_name), '\b(BLUE)\b') THEN 'right' ELSE 'none' END AS side FROM part)
+WITH c AS (SELECT p_partkey, CASE WHEN regexp_matches(upper(p_type), '\b(LARGE|MEDIUM)\b') THEN 'front' WHEN regexp_matches(upper(p_type), '\b(SMALL)\b') THEN 'rear' ELSE 'other' END AS category,
+  CASE WHEN regexp_matches(upper(p_name), '\b(RED|HOT)\b') THEN 'left' WHEN regexp_matches(upper(p_name), '\b(BLUE)\b') THEN 'right' ELSE 'none' END AS side FROM part)
 SELECT category, side, count(*) AS n FROM c WHERE category <> 'other' GROUP BY category, side""")
 def category_position_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories and sides by ordered keyword rules."""
-    category = text.first_keyword(F.col("p_type"), [("BRASS|COPPER", "front"), ("STEEL", "rear")], "other")
-    side = text.first_keyword(F.col("p_name"), [("RED|GREEN", "left"), ("BLUE", "right")], "none")
+    category = text.first_keyword(F.col("p_type"), [("LARGE|MEDIUM", "front"), ("SMALL", "rear")], "other")
+    side = text.first_keyword(F.col("p_name"), [("RED|HOT", "left"), ("BLUE", "right")], "none")
     return table(spark, sf_dir, "part").select(category.alias("category"), side.alias("side")).where("category <> 'other'").groupBy("category", "side").agg(F.count("*").alias("n"))
 
 
@@ -171,10 +171,10 @@ def conditional_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.select("event_id", fixed.alias("value"))
 
 
-@BOOK.query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%dark-red%' OR lower(p_name) LIKE '%dark red%' OR lower(p_name) LIKE '%darkred%'")
+@BOOK.query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%red-bolt%' OR lower(p_name) LIKE '%red bolt%' OR lower(p_name) LIKE '%redbolt%'")
 def hint_variants_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spellings of a hint in one scan."""
-    return hinted(table(spark, sf_dir, "part"), "dark-red", "p_name").select("p_partkey", "p_name")
+    return hinted(table(spark, sf_dir, "part"), "Red-Bolt", "p_name").select("p_partkey", "p_name")
 
 
 def hinted(rows: DataFrame, hint: str, field: str) -> DataFrame:

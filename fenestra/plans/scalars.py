@@ -35,13 +35,13 @@ def chassis_code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), b AS (SELECT unnest(['azure', 'blue', 'green', 'metallic', 'cream', 'rose']) AS brand),
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), b AS (SELECT unnest(['blues', 'reds', 'bolts', 'gears', 'plates', 'widgets']) AS brand),
 s AS (SELECT word, brand, levenshtein(word, brand) AS d, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, brand), brand) AS r FROM w, b)
 SELECT word, CASE WHEN d <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END THEN brand END AS brand, d AS distance FROM s WHERE r = 1""")
 def levenshtein_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary word nearest to each distinct word, if within a threshold by length. The dictionary is a literal: nothing is joined."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    brands = ["azure", "blue", "green", "metallic", "cream", "rose"]
+    brands = ["blues", "reds", "bolts", "gears", "plates", "widgets"]
     best = F.array_min(F.array(*(F.struct(F.levenshtein(F.col("word"), F.lit(b)).alias("d"), F.lit(b).alias("b")) for b in brands)))
     near = F.col("best.d") <= F.when(F.length("word") <= 4, 1).otherwise(2)
     return words.select("word", best.alias("best")).select("word", F.when(near, F.col("best.b")).alias("brand"), F.col("best.d").cast("bigint").alias("distance"))
@@ -180,7 +180,7 @@ def free_text_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaro_winkler_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names against one hint, scored by overlap and Jaro-Winkler, best 50 of those above 0.4."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    scored = names.withColumn("score", F.round(similarity.fuzzy_score(F.lit("dark blue"), F.col("p_name")), 6))
+    scored = names.withColumn("score", F.round(similarity.fuzzy_score(F.lit("blue bolts"), F.col("p_name")), 6))
     return scored.where("score >= 0.4").orderBy(F.desc("score"), "p_name").limit(50)
 
 
