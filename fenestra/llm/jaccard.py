@@ -14,11 +14,12 @@ most. `Band.plan` compares both by the rows that they make and the chance meetin
 that small subsets bring. Beyond what the pigeonhole needs, segments may be left
 out; each set leaves out its smallest.
 
-Sets that share a subset are candidates. In a bucket that many sets share, not all
-pairs are checked: first the pairs with one centre; what these link are
-components, and only pairs between components are left, which are thinned by the
-parity of their shingles (a lower bound of the difference) and then verified on
-the sets themselves. Nothing that could link is left out, so components are exact.
+Sets that share a subset are candidates; buckets with the same sets are one. In a
+bucket that many sets share, not all pairs are checked: first each set with one
+centre, then each component with the nearest set beside it, and at last all pairs
+that are left between components. Pairs are thinned by the parity of their
+shingles, a lower bound of the difference, and then verified on the sets
+themselves. Nothing that could link is left out, so components are exact.
 
 Equal sets are one class from the start and are indexed once a task.
 """
@@ -42,11 +43,11 @@ PIECE = 1 << 20
 #: Classes that a task remembers at once, to index equal sets once.
 MEMORY = 300_000
 #: Weight of the chance meetings of small subsets against a row of the index.
-CHANCE = 1000.0
-#: In bands with many segments, one bucket in so many is enough for centres.
-STAR_PART, STAR_SEGMENTS = 8, 64
-#: Words of 64 parities.
-PARITY = 4
+CHANCE = 75.0
+#: Bits of a sketch for each shingle, about, and its size in words at least and at most.
+SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
+#: Rounds in which each component tries the nearest class beside it.
+NEAREST_ROUNDS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240501)
@@ -160,9 +161,10 @@ class Band:
         deleted = half + size + CHANCE * half * exp(-size / half)
         if deleted < plain:
             return Band(number, first, last, half, 0, True)
+        # enough to leave out the empty subsets, which chance alone would make many sets share;
         # a probe needs most + 1 + spare segments, two sets of the band own + 1 + 2 * spare
-        spare = (most - own) // 2
-        return Band(number, first, last, m + spare, spare, False)
+        spare = max((most - own) // 2, round(2 * m * exp(-size / m)))
+        return Band(number, first, last, max(m + spare, own + 1 + 2 * spare), spare, False)
 
 
 class Bands:
@@ -179,10 +181,7 @@ class Bands:
         return int(np.searchsorted(self.ends, size))
 
     def rows(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a set, as indexed in its band and as it probes the band below: bits 2 up are the bucket.
-
-        Bit 0: probes only. Bit 1: the bucket is among those that look for centres.
-        """
+        """Keys of a set, as indexed in its band and as it probes the band below: bits 1 up are the bucket, bit 0 says that it probes only."""
         size = len(s)
         number = self.of(size)
         out = [self._keys(s, self.made[number], None)]
@@ -212,14 +211,21 @@ class Bands:
                     largest = np.argsort(-np.bincount(segment, minlength=band.m), kind="stable")[:use]
                     sums, place = sums[largest], place[largest]
                 keys = mix64(sums + place)
-        star = np.uint64(2) if band.m < STAR_SEGMENTS else np.where(keys % np.uint64(STAR_PART) == 0, np.uint64(2), np.uint64(0))
-        return (keys & ~np.uint64(3)) | star
+        return keys & ~np.uint64(1)
+
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bits that say of how many shingles each, even or odd: sets differ in at least as many shingles as sketches in bits.
+
+    Its size is a power of two of words, so that a longer one can be folded to a shorter one.
+    """
+    words = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (len(s) * SKETCH_BITS // 64).bit_length()))
+    bit = (mix64(s + np.uint64(99)) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=64 * words).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Bits that say of how many shingles each, even or odd: sets differ at least in as many shingles as bits."""
-    bit = (mix64(s + np.uint64(99)) % np.uint64(64 * PARITY)).astype(np.int64)
-    return np.packbits(np.bincount(bit, minlength=64 * PARITY).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -231,21 +237,18 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row, n, class, p0..: one row per row of `docs`."""
-    names = [f"p{i}" for i in range(PARITY)]
+    """doc_id, row, n, class: one row per row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            n, who, bits = [], [], []
+            n, who = [], []
             for s in shingler.sets(batch.column(2).to_pylist()):
                 n.append(len(s))
                 who.append(class_of(s) if len(s) else 0)
-                bits.append(parity(s))
-            p = np.array(bits, np.int64).reshape(-1, PARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(who, pa.int64()), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY))], names=["doc_id", "row", "n", "class", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(who, pa.int64())], names=["doc_id", "row", "n", "class"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, n bigint, class bigint, " + ", ".join(f"{p} bigint" for p in names))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, n bigint, class bigint")
 
 
 def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -309,7 +312,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         if left is not None:
             now = {c: np.concatenate((left[c], now[c])) for c in now}
-        bucket = now["k"] >> 2
+        bucket = now["k"] >> 1
         if not len(bucket):
             continue
         end = int(np.searchsorted(bucket, bucket[-1]))
@@ -320,95 +323,119 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         yield left
 
 
+def _starts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets start, and their sizes."""
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return start, np.diff(np.concatenate((start, [len(bucket)])))
+
+
 def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets with two classes or more, of which one is indexed; each class once."""
+    """Rows of buckets with two classes or more, of which one is indexed; each class once.
+
+    The new key of a bucket is a hash of its rows: buckets with the same rows become equal.
+    """
     for rows in _runs(batches):
         k, c = rows["k"], rows["class"]
-        order = np.lexsort((k & 1, c, k >> 2))
+        order = np.lexsort((k & 1, c, k >> 1))
         k, c = k[order], c[order]
-        bucket = k >> 2
+        bucket = k >> 1
         once = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1])))
-        k, c, bucket = k[once], c[once], bucket[once]
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.concatenate((start, [len(k)])))
-        indexed = np.add.reduceat((k & 1 == 0).astype(np.int64), start)
+        probe, c, bucket = k[once] & 1, c[once], bucket[once]
+        start, size = _starts(bucket)
+        indexed = np.add.reduceat(1 - probe, start)
+        with np.errstate(over="ignore"):
+            rows_hash = np.add.reduceat(mix64(c.view(np.uint64) * np.uint64(2) + probe.view(np.uint64)) ^ mix64(c.view(np.uint64)), start)
+        key = np.repeat(mix64(rows_hash) & ~np.uint64(1), size).view(np.int64) | probe
         keep = np.repeat((size > 1) & (indexed > 0), size)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(c[keep])], names=["k", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[keep])], names=["k", "class"])
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition(F.shiftright("k", 2)).sortWithinPartitions("k")
-
-
-def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the first indexed class of each bucket with each other class."""
-    for rows in _runs(batches):
-        k, c = rows["k"], rows["class"]
-        order = np.lexsort((c, k & 1, k >> 2))
-        k, c = k[order], c[order]
-        bucket = k >> 2
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.concatenate((start, [len(k)])))
-        centre = np.repeat(c[start], size)
-        pairs = np.unique(np.stack((np.minimum(centre, c), np.maximum(centre, c)), axis=1)[centre != c], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+    return rows.repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
 
 
 def _mixed_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets that still hold classes of several components."""
     for rows in _runs(batches):
-        bucket = rows["k"] >> 2
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.concatenate((start, [len(bucket)])))
+        start, size = _starts(rows["k"] >> 1)
         mixed = np.repeat(np.minimum.reduceat(rows["component"], start) != np.maximum.reduceat(rows["component"], start), size)
         if mixed.any():
             yield pa.RecordBatch.from_arrays([pa.array(rows[c][mixed]) for c in ("k", "class", "component")], names=["k", "class", "component"])
 
 
-def _pairs_between(percent: int):
-    """(a, b): classes of a bucket in different components whose sizes and parities allow a link."""
+def _pairs(mode: str, percent: int):
+    """(a, b): classes of a bucket in different components whose sizes and sketches allow a link.
+
+    mode centre: a is the first indexed class of the bucket. nearest: of each
+    component but the largest the pair with the nearest sketches. all: all pairs.
+    """
+
+    def of_bucket(c, n, part, probe, sketches) -> Iterator[np.ndarray]:
+        words = min(map(len, sketches)) // 8
+        bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in sketches])
+        if mode == "centre":
+            asking = [int(np.lexsort((c, probe))[0])]
+        else:  # rows of the largest component are met by all others, and not by each other
+            parts, counts = np.unique(part, return_counts=True)
+            asking = np.flatnonzero(part != parts[np.argmax(counts)]).tolist()
+        open_, best = np.ones(len(c), bool), {}
+        for i in asking:
+            open_[i] = mode == "nearest"
+            room = (n[i] + n) * (100 - percent) // (100 + percent)
+            fits = np.flatnonzero(open_ & (part != part[i]) & (probe + probe[i] < 2) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * percent))
+            if not len(fits):
+                continue
+            far = np.bitwise_count(bits[fits] ^ bits[i]).sum(axis=1)
+            near = far <= room[fits]
+            fits, far = fits[near], far[near]
+            if mode == "nearest":
+                if len(fits):
+                    j = int(np.lexsort((c[fits], far))[0])
+                    best[part[i]] = min(best.get(part[i], (1 << 40, 0, 0)), (int(far[j]), int(c[i]), int(c[fits[j]])))
+            elif len(fits):
+                yield np.stack((np.full(len(fits), c[i]), c[fits]), axis=1) if mode == "centre" else np.stack((np.minimum(c[i], c[fits]), np.maximum(c[i], c[fits])), axis=1)
+        if best:
+            yield np.sort(np.array([x[1:] for x in best.values()], np.int64), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+
+        found, size = [], 0
         for rows in _runs(batches):
-            bucket = rows["k"] >> 2
-            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
-            bits = np.stack([rows[f"p{i}"] for i in range(PARITY)], axis=1).view(np.uint64)
-            found = []
-            for lo, hi in zip(start, [*start[1:], len(bucket)], strict=True):
-                c, n, part, probe = rows["class"][lo:hi], rows["n"][lo:hi], rows["component"][lo:hi], rows["k"][lo:hi] & 1
-                for i in range(hi - lo - 1):  # one row against all that follow
-                    j = slice(i + 1, None)
-                    room = (n[i] + n[j]) * (100 - percent) // (100 + percent)
-                    fits = (part[j] != part[i]) & (probe[j] + probe[i] < 2) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
-                    if fits.any():
-                        fits &= np.bitwise_count(bits[lo + i] ^ bits[lo:hi][j]).sum(axis=1) <= room
-                        other = c[j][fits]
-                        if len(other):
-                            found.append(np.stack((np.minimum(c[i], other), np.maximum(c[i], other)), axis=1))
-                if sum(map(len, found)) > 100_000:
-                    yield _pair_batch(found)
-                    found = []
-            if found:
-                yield _pair_batch(found)
+            start, sizes = _starts(rows["k"] >> 1)
+            for lo, m in zip(start.tolist(), sizes.tolist(), strict=True):
+                at = slice(lo, lo + m)
+                for pairs in of_bucket(rows["class"][at], rows["n"][at], rows["component"][at], rows["k"][at] & 1, rows["sketch"][at]):
+                    found.append(pairs)
+                    size += len(pairs)
+            if size > 200_000:
+                yield out(found)
+                found, size = [], 0
+        if found:
+            yield out(found)
 
     return run
 
 
-def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+# ---------------------------------------------------------------- verification
 
 
-# ---------------------------------------------------------------- verification
+def _sketched(sets: DataFrame) -> DataFrame:
+    """class, n, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s).tobytes() for s in found], pa.binary())], names=["class", "n", "sketch"])
+
+    return sets.select("class", "shingles").mapInArrow(run, "class bigint, n bigint, sketch binary")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    sets = stored(_sets_of(docs, words, wanted).groupBy("class").agg(F.first("shingles").alias("shingles")), "op5-sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,13 +452,40 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
 
 
-def _thinned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and parities allow a link."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in range(PARITY)))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    bits = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
-    room = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    return met.where((bits <= room) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b")
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only the components that these meet are looked at again."""
+    label = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
+    met = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = components(cut(met)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    # a class without links before is a component of its own
+    nodes = parts.unionByName(joined.select(F.col("component").alias("node"), "component").join(parts.select("node"), "node", "left_anti"))
+    return cut(nodes.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")))
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component: classes that link with others."""
+    shared = stored(_by_bucket(_index(docs, words, percent)).mapInArrow(_shared_buckets, "k bigint, class bigint").distinct(), "op5-shared")
+    sets = stored(_sets_of(docs, words, shared.select("class").distinct()).groupBy("class").agg(F.first("shingles").alias("shingles")), "op5-sets")
+    sketches = stored(_sketched(sets), "op5-sketches")
+    parts = tried = None
+    for mode in ("centre", *("nearest",) * NEAREST_ROUNDS, "all"):
+        marked = shared if parts is None else shared.join(parts.withColumnRenamed("node", "class"), "class", "left")
+        marked = marked.select("k", "class", (F.col("class") if parts is None else F.coalesce("component", "class")).alias("component"))
+        mixed = _by_bucket(marked).mapInArrow(_mixed_buckets, "k bigint, class bigint, component bigint")
+        pairs = _by_bucket(mixed.join(sketches, "class")).mapInArrow(_pairs(mode, percent), "a bigint, b bigint")
+        if mode == "centre":  # each class with the first of its centres
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fresh = _verify(pairs, sets, percent)
+        if parts is None or fresh.limit(1).count():
+            parts = components(fresh) if parts is None else _merged(parts, fresh)
+    if parts is None:
+        return docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    return parts
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -446,24 +500,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     columns are ignored.
     """
     rows = stored(_summaries(docs, words), "op5-rows")
-    names = [f"p{i}" for i in range(PARITY)]
-    classes = cut(rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), *(F.first(p).alias(p) for p in names)))
-    shared = stored(_by_bucket(_index(docs, words, percent)).mapInArrow(_shared_buckets, "k bigint, class bigint"), "op5-shared")
-    # centres first
-    stars = _by_bucket(shared.where("k & 2 <> 0")).mapInArrow(_star_pairs, "a bigint, b bigint").distinct()
-    tried = cut(_thinned(stars, classes, percent))
-    links = _verify(docs, tried, words, percent)
-    parts = components(links)
-    # then what lies between components in one bucket
-    label = F.coalesce("component", F.col("class")).alias("component")
-    marked = shared.join(parts.withColumnRenamed("node", "class"), "class", "left").select("k", "class", label)
-    mixed = cut(_by_bucket(marked).mapInArrow(_mixed_buckets, "k bigint, class bigint, component bigint"))
-    rest = _by_bucket(mixed.join(classes, "class")).mapInArrow(_pairs_between(percent), "a bigint, b bigint").distinct()
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = _verify(docs, rest, words, percent)
-        if more.limit(1).count():
-            parts = components(links.union(more))
+    parts = _linked(docs, words, percent)
     own = F.when(F.col("n") == 0, F.concat_ws(" ", F.lit("row"), "doc_id", "row")).otherwise(F.concat_ws(" ", F.coalesce("component", F.col("class")), F.when(F.col("component").isNull(), F.col("n"))))
     placed = rows.join(parts.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "row", "n", own.alias("group"))
     least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))

@@ -71,14 +71,25 @@ def test_against_brute_force(spark, words, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, words, percent)
 
 
-def test_residual_buckets_alone_find_all(spark, monkeypatch):
-    """Without centres, pairs between components must bring every link."""
-    monkeypatch.setattr(jaccard, "_star_pairs", lambda batches: (b.slice(0, 0) for b in []))
+@pytest.mark.parametrize("skipped", [("centre",), ("centre", "nearest")])
+def test_last_round_alone_finds_all(spark, monkeypatch, skipped):
+    """Without the rounds before, pairs between components must bring every link."""
+    whole = jaccard._pairs
+    monkeypatch.setattr(jaccard, "_pairs", lambda mode, percent: (lambda batches: iter(())) if mode in skipped else whole(mode, percent))
     rows = fixture(7, 120)
     got = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=75).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 75)
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (3, 40, 700, 9000):
+        a, b = (np.unique(rng.integers(0, 2 * size, size, dtype=np.uint64)) for _ in "ab")
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        words = min(len(x), len(y))
+        assert np.bitwise_count(jaccard.fold(x, words) ^ jaccard.fold(y, words)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_every_link_shares_a_bucket():
     """The pigeonhole, on pairs at the very threshold, for many sizes."""
     rng = np.random.default_rng(3)
@@ -93,8 +104,8 @@ def test_every_link_shares_a_bucket():
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 x, y = bands.rows(a), bands.rows(b)
-                own = {int(k) >> 2 for k in x if not int(k) & 1}, {int(k) >> 2 for k in y if not int(k) & 1}
-                every = {int(k) >> 2 for k in x}, {int(k) >> 2 for k in y}
+                own = {int(k) >> 1 for k in x if not int(k) & 1}, {int(k) >> 1 for k in y if not int(k) & 1}
+                every = {int(k) >> 1 for k in x}, {int(k) >> 1 for k in y}
                 assert own[0] & every[1] or own[1] & every[0]
 
 
