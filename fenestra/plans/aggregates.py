@@ -181,10 +181,10 @@ def nested_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("r_name", F.explode("nations").alias("n_name", "t")).select("r_name", "n_name", "t.customers", "t.balance")
 
 
-@BOOK.query("SELECT l_orderkey, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS gross FROM lineitem GROUP BY l_orderkey")
+@BOOK.query("SELECT l_orderkey, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS gross FROM lineitem GROUP BY l_orderkey")
 def quote_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum(net), 2).alias("net"), F.round(F.sum(net * (1 + F.col("l_tax"))), 2).alias("gross"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum(net), 4).alias("net"), F.round(F.sum(net * (1 + F.col("l_tax"))), 6).alias("gross"))
 
 
 @BOOK.query("""

@@ -25,7 +25,7 @@ def plain(v):
         return "NULL"
     if type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
-    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf":
+    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "x") in "iuf":
         return f"{float(v):.6g}"
     return str(v)
 
