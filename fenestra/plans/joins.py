@@ -289,13 +289,26 @@ def dictionary_tuple_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(rules, (F.col("p_brand") == F.col("b")) & (F.col("p_type") == F.col("t")) & F.col("s").eqNullSafe(F.col("r"))).select("p_partkey", "code")
 
 
+def _expanded(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """Part keys listed per order, exploded and joined."""
+    lists = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ps"))
+    return lists.select("l_orderkey", F.explode("ps").alias("k")).join(parts, F.col("k") == F.col("p_partkey")).select("l_orderkey", "p_partkey", "p_name")
+
+
 @BOOK.query("""
 WITH o AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS ps FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey)
 SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(ps) AS k FROM o) JOIN part ON k = p_partkey""")
 def exploded_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of accessories, one array a row, to their records."""
-    lists = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ps"))
-    return lists.select("l_orderkey", F.explode("ps").alias("k")).join(table(spark, sf_dir, "part"), F.col("k") == F.col("p_partkey")).select("l_orderkey", "p_partkey", "p_name")
+    """Lists of accessories of the orders that its SQL names; `exploded_list_whole` has those of all."""
+    return _expanded(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0"), table(spark, sf_dir, "part"))
+
+
+@BOOK.query("""
+WITH o AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS ps FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(ps) AS k FROM o) JOIN part ON k = p_partkey""")
+def exploded_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of accessories of every order, one array a row, to their records."""
+    return _expanded(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
 
 
 @BOOK.query("""
