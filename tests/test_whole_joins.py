@@ -1,5 +1,7 @@
 """Joins over whole tables, against brute force."""
 
+from datetime import date
+
 import pytest
 
 from fenestra import registry
@@ -24,3 +26,22 @@ def test_lists_of_every_order(spark, rows_of):
     names = {p.p_partkey: p.p_name for p in rows_of("part")}
     assert got == sorted({(x.l_orderkey, x.l_partkey, names[x.l_partkey]) for x in rows_of("lineitem") if x.l_partkey in names})
     assert {r[0] for r in got} == {x.l_orderkey for x in rows_of("lineitem")}
+
+
+def test_best_overlap_among_all_customers(spark, rows_of):
+    nation, first, blocks, want = {c.c_custkey: c.c_nationkey for c in rows_of("customer")}, {}, {}, []
+    for o in rows_of("orders"):
+        day = str(o.o_orderdate)[:10]
+        first[o.o_custkey] = min(first.get(o.o_custkey, day), day)
+    for k, day in first.items():
+        if k in nation:
+            lo = (date.fromisoformat(day) - date(1990, 1, 1)).days
+            blocks.setdefault(nation[k], []).append((k, lo, lo + k % 400))
+    for block in blocks.values():
+        for a, lo, hi in block:
+            met = [(min(hi, y) - max(lo, x) + 1, -b) for b, x, y in block if a < b and lo <= y and x <= hi]
+            if met:
+                want.append((a, -max(met)[1], max(met)[0]))
+    got = sorted(map(tuple, registry.QUERIES["interval_overlap_whole"](spark, SF).select("a", "b", "days").collect()))
+    assert got == sorted(want)
+    assert {r[0] % 4 for r in got} == {0, 1, 2, 3}
