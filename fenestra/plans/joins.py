@@ -205,16 +205,17 @@ def sibling_end_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("year_from"), F.max("p_size").over(Window.partitionBy("p_brand", "p_name")).alias("year_to"))
 
 
-@BOOK.query("""
+_VERIFIER_SQL = """
 WITH f AS (SELECT p_partkey AS f_key, p_brand AS f_brand, p_name AS f_name, p_type AS f_type FROM part WHERE p_partkey % 10 = 0),
 m AS (SELECT f_key, p_partkey, CASE WHEN f_brand = p_brand THEN 25 ELSE 0 END + CASE WHEN f_name = p_name THEN 25 ELSE 0 END + CASE WHEN f_type = p_type THEN 25 ELSE 0 END AS score FROM f JOIN part ON (f_brand = p_brand AND f_name = p_name) OR (f_name = p_name AND f_type = p_type) WHERE f_key <> p_partkey),
 b AS (SELECT *, row_number() OVER (PARTITION BY f_key ORDER BY p_partkey) AS rn FROM m)
-SELECT f_key, p_partkey, score, CASE WHEN score >= 75 THEN 'exact' WHEN score >= 50 THEN 'probable' ELSE 'weak' END AS bucket FROM b WHERE rn = 1""")
-def or_match_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT f_key, p_partkey, score, CASE WHEN score >= 75 THEN 'exact' WHEN score >= 50 THEN 'probable' ELSE 'weak' END AS bucket FROM b WHERE rn = 1"""
+
+
+def _verified(findings: DataFrame, parts: DataFrame) -> DataFrame:
     """Findings met by either of two composite keys; the first match by key is scored and bucketed."""
-    parts = table(spark, sf_dir, "part")
     keyed = lambda d: d.withColumn("k", F.explode(F.array(F.concat_ws("|", F.lit("bn"), "p_brand", "p_name"), F.concat_ws("|", F.lit("nt"), "p_name", "p_type"))))
-    found = keyed(parts.where("p_partkey % 10 = 0")).select("k", F.col("p_partkey").alias("f_key"), F.col("p_brand").alias("f_brand"), F.col("p_name").alias("f_name"), F.col("p_type").alias("f_type"))
+    found = keyed(findings).select("k", F.col("p_partkey").alias("f_key"), F.col("p_brand").alias("f_brand"), F.col("p_name").alias("f_name"), F.col("p_type").alias("f_type"))
     # of each key only the two smallest parts can be the first other match of a finding
     first = F.row_number().over(Window.partitionBy("k").orderBy("p_partkey"))
     heads = keyed(parts).withColumn("n", first).where("n <= 2")
@@ -224,6 +225,20 @@ def or_match_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("bucket", similarity.level(F.col("score"), [(75, "exact"), (50, "probable")], "weak"))
 
 
+@BOOK.query(_VERIFIER_SQL)
+def or_match_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the findings that its SQL names; `or_match_whole` verifies every part."""
+    parts = table(spark, sf_dir, "part")
+    return _verified(parts.where("p_partkey % 10 = 0"), parts)
+
+
+@BOOK.query(_VERIFIER_SQL.replace(" WHERE p_partkey % 10 = 0", ""))
+def or_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a finding."""
+    parts = table(spark, sf_dir, "part")
+    return _verified(parts, parts)
+
+
 @BOOK.query("""
 WITH l AS (SELECT o_orderkey, 0 AS layer, 'status ' || o_orderstatus AS code FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000
  UNION ALL SELECT o_orderkey, 1, 'priority ' || o_orderpriority FROM orders WHERE o_totalprice > 20000 UNION ALL SELECT o_orderkey, 2, 'any' FROM orders),
@@ -257,13 +272,26 @@ def family_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.best_with_gap(pairs, ["p_partkey"], "score", ["family"]).select("p_partkey", "family", F.round("score", 6).alias("score"), "members")
 
 
-@BOOK.query("""
+def _nearest_seeds(seeds: DataFrame, asked: DataFrame, block: list[str]) -> DataFrame:
+    """Of each block and size asked for, the three seeds nearest in size (off: by how much), then smallest."""
+    smallest = F.row_number().over(Window.partitionBy(*block, "p_size").orderBy("p_partkey"))
+    heads = seeds.withColumn("n", smallest).where("n <= 3").select(*block, F.col("p_partkey").alias("seed"), F.col("p_size").alias("s_size"))
+    pairs = asked.select(*block, "p_size").distinct().join(heads, block).withColumn("off", F.abs(F.col("p_size") - F.col("s_size")))
+    # beyond 50 the size counts no more
+    nearest = F.row_number().over(Window.partitionBy(*block, "p_size").orderBy(F.least("off", F.lit(50)), "seed"))
+    return pairs.withColumn("n", nearest).where("n <= 3").select(*block, "p_size", "seed", "off")
+
+
+_NEIGHBOUR_SQL = """
 WITH s AS (SELECT p_partkey AS seed, p_brand, p_size AS s_size, p_type AS s_type FROM part WHERE p_partkey % 20 = 0), q AS (SELECT * FROM part WHERE p_partkey % 20 = 1),
 j AS (SELECT p_partkey, seed, CASE WHEN p_type = s_type THEN 0.6 ELSE 0 END + 0.4 * greatest(0, 1 - abs(p_size - s_size) / 50.0) AS score FROM q JOIN s USING (p_brand)),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, seed) AS rn FROM j WHERE score >= 0.3)
-SELECT p_partkey, seed, round(score, 6) AS score, rn AS rank, score >= 0.85 AS accepted FROM r WHERE rn <= 3""")
+SELECT p_partkey, seed, round(score, 6) AS score, rn AS rank, score >= 0.85 AS accepted FROM r WHERE rn <= 3"""
+
+
+@BOOK.query(_NEIGHBOUR_SQL)
 def weighted_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three nearest seeds of a block by weighted agreement."""
+    """Up to three nearest seeds of a block by weighted agreement, of the parts that its SQL names; `weighted_neighbour_whole` asks for all."""
     parts = table(spark, sf_dir, "part")
     seeds = parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"), "p_brand", F.col("p_size").alias("s_size"), F.col("p_type").alias("s_type"))
     score = F.round(F.when(F.col("p_type") == F.col("s_type"), 0.6).otherwise(0.0) + F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("p_size") - F.col("s_size")) / 50.0) * 0.4, 9)
@@ -272,6 +300,29 @@ def weighted_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("rank", rank.cast("bigint")).where("rank <= 3").select("p_partkey", "seed", F.round("score", 6).alias("score"), "rank", (F.col("score") >= 0.85).alias("accepted"))
 
 
+@BOOK.query(_NEIGHBOUR_SQL.replace("WHERE p_partkey % 20 = 1", "WHERE p_partkey % 20 <> 0"))
+def weighted_neighbour_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three nearest seeds of a block by weighted agreement, for every part that is no seed.
+
+    The score depends on brand, type and size only, so distinct keys are scored and
+    parts join the results. The best three of a key are among the three nearest in
+    size of its brand and type and the three nearest of its brand; of equal seeds only the three
+    smallest can be. So no join holds more rows than the keys that occur.
+    """
+    parts = table(spark, sf_dir, "part")
+    seeds, asked = parts.where("p_partkey % 20 = 0"), parts.where("p_partkey % 20 <> 0")
+    met = [_nearest_seeds(seeds, asked, block) for block in (["p_brand", "p_type"], ["p_brand"])]
+    keys = asked.select("p_brand", "p_type", "p_size").distinct()
+    same_type = keys.join(met[0], ["p_brand", "p_type", "p_size"]).select("p_brand", "p_type", "p_size", "seed", "off", F.lit(True).alias("same"))
+    types = seeds.select(F.col("p_partkey").alias("seed"), F.col("p_type").alias("s_type"))
+    any_type = keys.join(met[1], ["p_brand", "p_size"]).join(types, "seed").where("NOT p_type <=> s_type OR p_type IS NULL").select("p_brand", "p_type", "p_size", "seed", "off", F.lit(False).alias("same"))
+    score = F.round(F.when(F.col("same"), 0.6).otherwise(0.0) + F.greatest(F.lit(0.0), F.lit(1.0) - F.col("off") / 50.0) * 0.4, 9)
+    rank = F.row_number().over(Window.partitionBy("p_brand", "p_type", "p_size").orderBy(F.desc("score"), "seed"))
+    best = same_type.unionByName(any_type).withColumn("score", score).where("score >= 0.3").withColumn("rank", rank.cast("bigint")).where("rank <= 3")
+    best = best.select("p_brand", F.col("p_type").alias("t"), "p_size", "seed", "score", "rank")
+    return asked.join(best, (asked["p_brand"] == best["p_brand"]) & (asked["p_size"] == best["p_size"]) & F.col("p_type").eqNullSafe(F.col("t"))).select("p_partkey", "seed", F.round("score", 6).alias("score"), "rank", (F.col("score") >= 0.85).alias("accepted"))
+
+
 @BOOK.query("""
 WITH pool AS (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 2 = 0), alias AS (SELECT n_name, n_nationkey - 1 AS n_nationkey FROM nation WHERE n_nationkey % 4 = 2),
 c AS (SELECT c_custkey, c_nationkey FROM customer)

@@ -45,3 +45,31 @@ def test_best_overlap_among_all_customers(spark, rows_of):
     got = sorted(map(tuple, registry.QUERIES["interval_overlap_whole"](spark, SF).select("a", "b", "days").collect()))
     assert got == sorted(want)
     assert {r[0] % 4 for r in got} == {0, 1, 2, 3}
+
+
+def test_neighbours_of_all_parts(spark, rows_of):
+    parts, want = rows_of("part"), []
+    for p in (x for x in parts if x.p_partkey % 20):
+        near = []
+        for s in (x for x in parts if x.p_partkey % 20 == 0 and x.p_brand == p.p_brand):
+            score = round(0.6 * (p.p_type == s.p_type) + 0.4 * max(0, 1 - abs(p.p_size - s.p_size) / 50), 9)
+            if score >= 0.3:
+                near.append((-score, s.p_partkey))
+        want += [(p.p_partkey, seed, round(-score, 6), i + 1, -score >= 0.85) for i, (score, seed) in enumerate(sorted(near)[:3])]
+    got = sorted(map(tuple, registry.QUERIES["weighted_neighbour_whole"](spark, SF).select("p_partkey", "seed", "score", "rank", "accepted").collect()))
+    assert got == sorted(want)
+    assert len({r[0] % 20 for r in got}) > 1
+
+
+def test_every_part_is_verified(spark, rows_of):
+    parts, want = rows_of("part"), []
+    for f in parts:
+        for p in sorted(parts, key=lambda x: x.p_partkey):
+            brand, name, kind = f.p_brand == p.p_brand, f.p_name == p.p_name, f.p_type == p.p_type
+            if f.p_partkey != p.p_partkey and name and (brand or kind):
+                score = 25 * (brand + name + kind)
+                want.append((f.p_partkey, p.p_partkey, score, "exact" if score >= 75 else "probable"))
+                break
+    got = sorted(map(tuple, registry.QUERIES["or_match_whole"](spark, SF).select("f_key", "p_partkey", "score", "bucket").collect()))
+    assert got == sorted(want)
+    assert len({r[0] % 10 for r in got}) == 10
