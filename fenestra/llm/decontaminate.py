@@ -65,6 +65,21 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return placed.join(terms, "seek").select("doc_id", "row", "pos", "seek")
 
 
+def in_proximity(agreed: DataFrame) -> DataFrame:
+    """doc_id, row, item_id, near: items of which `need` seeds, at as many words, give starts that are up to SLOP words apart.
+
+    `agreed` has one row a start, with the offsets (ats) that give it. The range slides
+    over the starts, so that no match depends on where it lies.
+    """
+    ahead = Window.partitionBy("doc_id", "row", "item_id").orderBy(F.col("start").cast("bigint")).rangeBetween(0, SLOP)
+    inside = F.collect_list(F.struct("start", "ats")).over(ahead)
+    offsets = F.size(F.array_distinct(F.flatten(F.transform("inside", lambda s: s["ats"]))))
+    # one word that an item has at several places is one word
+    places = F.size(F.array_distinct(F.flatten(F.transform("inside", lambda s: F.transform(s["ats"], lambda at: s["start"] + at)))))
+    seen = agreed.where("need > 1").withColumn("inside", inside).select("doc_id", "row", "item_id", "need", F.least(offsets, places).alias("seen"))
+    return seen.where("seen >= need").groupBy("doc_id", "row", "item_id").agg(F.max("seen").alias("near"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Exact matches (doc_id, row, item_id, pos: words inside occurring windows) and proximity matches (doc_id, row, item_id, near)."""
     keyed = docs.select(F.col("doc_id"), row_key().alias("row"), "text")
@@ -76,10 +91,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> tupl
     # the stored index: postings of the seeds
     index = stored(postings(keyed, _bounded(seeded.select("seek").distinct())), "op9-postings")
     starts = index.join(_bounded(seeded), "seek").select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("start"), "need", "at")
-    agreed = starts.groupBy("doc_id", "row", "item_id", "start").agg(F.count_distinct("at").alias("seen"), F.first("need").alias("need"))
-    candidates = cut(agreed.where("seen >= need").select("doc_id", "row", "item_id", "start"))
-    near = starts.groupBy("doc_id", "row", "item_id", F.floor(F.col("start") / SLOP).alias("place")).agg(F.count_distinct("at").alias("seen"), F.first("need").alias("need"))
-    near = near.where("seen >= need AND need > 1").groupBy("doc_id", "row", "item_id").agg(F.max("seen").alias("near"))
+    # dealt by document and item, so that the starts of both are at one place to slide over
+    agreed = starts.repartition("doc_id", "row", "item_id").groupBy("doc_id", "row", "item_id", "start").agg(F.collect_set("at").alias("ats"), F.first("need").alias("need"))
+    candidates = cut(agreed.where("size(ats) >= need").select("doc_id", "row", "item_id", "start"))
+    near = in_proximity(agreed)
     # all postings of the candidates, met with the words their items expect at each position
     who = candidates.select(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row")).distinct()
     texts = keyed.where("text IS NOT NULL").join(who, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left_semi").dropDuplicates(["doc_id", "row"])

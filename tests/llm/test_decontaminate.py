@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from fenestra.llm.decontaminate import contamination, drop_contaminated
 
@@ -67,3 +68,47 @@ def test_empty(spark):
     assert contamination(d.where("false"), b).count() == 0
     assert contamination(d, b.where("false")).first().n_hit == 0
     assert contamination(d, b).first().n_hit == 2
+
+
+def brute_near(docs, items, window=10, slop=3):
+    split = lambda t: WORD.findall((t or "").lower())
+    df = Counter(w for _, t in docs for w in split(t))
+    out = []
+    for doc_id, text in docs:
+        n, words = 0, split(text)
+        for _, t in items:
+            w = split(t)
+            seeds = {a for s in range(max(len(w) - window, 0) + 1) for a in sorted(range(s, min(s + window, len(w))), key=lambda a: (df[w[a]], a))[:2]}
+            met = [(p - a, a, p) for p, x in enumerate(words) for a in seeds if w[a] == x]
+            n += any(abs(s - r) <= slop and a != b and p != q for s, a, p in met for r, b, q in met)
+        out.append((doc_id, n))
+    return sorted(out, key=str)
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(vocab, 14))) for i in range(6)] + [(6, "twin " * 12), (7, "solo")]
+    docs = [(1000, "twin alone"), (1001, "solo"), (1002, None), (1003, "")]
+    for item, text in items[:6]:
+        w = text.split()
+        # words put between or taken out, at every place of the passage modulo 4
+        for lead in range(4):
+            for put in range(-3, 6):
+                body = w[:7] + ["filler"] * put + w[7:] if put >= 0 else w[:6] + w[6 - put :]
+                docs.append((item * 100 + lead * 10 + put + 3, " ".join(["lead"] * lead + body)))
+    docs += [(2000 + i, " ".join(rng.choices(vocab, k=60))) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(((r.doc_id, r.n_near) for r in contamination(d, b).collect()), key=str) == brute_near(docs, items)
+
+
+def test_shifted_seeds_meet_wherever_they_start(spark):
+    """Two rare words 1 to 3 words nearer or farther than in the item match, 4 don't."""
+    w = [f"c{i}" for i in range(10)]
+    item = " ".join(w[:2] + ["rareone"] + w[2:5] + ["raretwo"] + w[5:8])
+    common = [(10_000 + i, " ".join(w[:8])) for i in range(100)]
+    docs = {lead * 10 + put: " ".join(["x"] * lead + ["rareone"] + ["y"] * (3 + put) + ["raretwo"]) for lead in range(6) for put in range(5)}
+    d = spark.createDataFrame([*docs.items(), *common], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_near for r in contamination(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert {k: got[k] for k in docs} == {k: int(k % 10 <= 3) for k in docs}
