@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ ALNUM_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 o
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -40,6 +44,23 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: What a finished write has shuffled is of no more use; lost files of it would be made again.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: checkpointed in the shared folder."""
     spark = df.sparkSession
@@ -51,9 +72,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, tag).put(df)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that go together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.home, self.n = spark, scratch(spark, tag), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The same rows, written and read again; the shuffle files of the write go at once."""
+        self.n += 1
+        path = f"{self.home}/{self.n}"
+        with settings(self.spark, TIDY):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.home)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(*, doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -61,6 +100,50 @@ def row_key(*, doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+# ---------------------------------------------------------------- rows by a list of few
+
+
+#: Bits of the map of ids: 2^25 bits are at most 2^19 rows of 16 bytes, whatever the number of ids.
+MAP_BITS = 25
+
+
+def held(docs: DataFrame) -> DataFrame:
+    """doc_id, row, it: the whole rows as one column, so that no name of theirs can clash with ours."""
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), F.struct(*names).alias("it"))
+
+
+def sifted(rows: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The `rows` (doc_id, ...) whose doc_id may be in `listed` (doc_id), and those whose doc_id surely isn't.
+
+    Which may be is read from a broadcast bit map of fixed size (MAP_BITS), so that
+    only the former, about as many as are listed, have to meet `listed` in a join.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    words = listed.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    # a row whose bit is set finds its word; all others are left over
+    bits = F.coalesce(F.expr("bit_get(bits, cast(place & 63 AS int)) = 1"), F.lit(False))
+    met = rows.withColumn("place", place).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"), "left").withColumn("met", bits)
+    return met.where("met").select(*rows.columns), met.where("NOT met").select(*rows.columns)
+
+
+def without(docs: DataFrame, doomed: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, but those that `doomed` (doc_id, row, stay) lists.
+
+    `row` is `row_key()`. Where stay is 1, one of the rows with that id and text stays, first
+    by its other columns; where it is 0, none. Texts of rows that aren't listed are not shuffled.
+    """
+    ids = doomed.select("doc_id", "row", "stay").withColumnsRenamed({"doc_id": "d_id", "row": "d_row"})
+    maybe, clear = sifted(held(docs), doomed)
+    met = maybe.join(ids, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row")), "left")
+    stays = clear.select("it.*").union(met.where("stay IS NULL").select("it.*"))
+    if doomed.where("stay = 1").limit(1).count():
+        order = F.to_json(F.struct(*(F.col("it")[c] for c in docs.columns if c != "text")))
+        stays = stays.union(met.where("stay = 1").groupBy("doc_id", "row").agg(F.min_by("it", order).alias("it")).select("it.*"))
+    return stays
+
+
 # ---------------------------------------------------------------- bounded filter
 
 

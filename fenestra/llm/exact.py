@@ -1,12 +1,15 @@
 """Exact deduplication with streaming state (operator 7).
 
-One pass over the documents writes a narrow table of digests. A Structured
-Streaming query reads it and aggregates by digest in RocksDB state, on disk and
-without a watermark or expiry: per digest it retains the row that stays (its
-identifier and content locator) and the size of the group. The digest of equal
-texts is equal; that texts of an equal digest are equal is checked on their full
-bytes wherever a digest was hit more than once. Texts that fail, which 256 bits
-leave to tests with shorter digests, are told apart by their full text.
+One pass over the documents writes a narrow table of digests, with the place
+(file and row) of each text. A Structured Streaming query reads what is new in it
+and aggregates by digest in RocksDB state, on disk and without a watermark or
+expiry: per digest it retains the row that stays (its identifier and content
+locator) and the size of the group. The query's checkpoint stands in the ledger's
+folder, so that a later delivery finds the copies of all earlier ones.
+
+That texts of an equal digest are equal is checked on their full bytes wherever a
+digest was hit more than once; earlier texts are read by their locators. Texts that
+fail are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import SPACE_BYTES, KeyFilter, row_key, scratch
+from fenestra.llm.common import SPACE_BYTES, TIDY, KeyFilter, row_key, scratch, settings, stored, without
 
 #: Digest files that one micro-batch reads at most.
 FILES_PER_BATCH = 512
@@ -34,68 +38,129 @@ STATE = {
     # a partition's store is closed with its task, so memory follows the running tasks, not the partitions
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+ROWS = "doc_id bigint, row bigint, chars bigint, file string, at bigint, digest binary, sha binary"
+BEST = "struct<less:bigint,without:boolean,doc_id:bigint,row:bigint,file:string,at:bigint>"
 
 
 def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(None, SPACE_BYTES)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """doc_id, row (key of the row's text), chars, file, at, text: the place is null where `docs` is no plain scan of files."""
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars")]
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(*columns, place["file_path"].alias("file"), place["row_index"].alias("at"), "text")
+    except AnalysisException:
+        return docs.select(*columns, F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("at"), "text")
+
+
 def digests(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """doc_id, row (key of the row's text), chars, digest, and text_sha256 where the digest is shortened."""
+    """What `located` has, but the text; digest, and sha, of which the digest is the beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashlib.sha256(normalised(t.as_py())).digest() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([d[:digest_bytes] for d in found], pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "row", "chars", "digest", "sha"])
+            found = [hashlib.sha256(normalised(t.as_py())).digest() for t in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array([d[:digest_bytes] for d in found], pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "row", "chars", "file", "at", "digest", "sha"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"), "text")
-    return chosen.mapInArrow(run, "doc_id bigint, row bigint, chars bigint, digest binary, sha binary")
+    return located(docs).mapInArrow(run, ROWS)
 
 
 def _best():
     """Orders rows by what stays: most code points, then smallest doc_id, nulls last."""
-    return F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
+    return F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("without"), "doc_id", "row", "file", "at"))
 
 
-def stream_state(spark: SparkSession, table: str, schema, *, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """digest, best, n: the state after the whole digest table has streamed through.
+class Ledger:
+    """All texts delivered so far, in a folder that all executors share.
 
-    The query's checkpoint and its output lie in the shared folder, so that a batch
-    that an executor or the driver lost is run again from state: each batch writes
-    to a folder of its own and overwrites it.
+    digests/delivery=N: the rows of each delivery; state/part=N: what batch N of the
+    stream changed; checkpoint: the stream's offsets and RocksDB state. A batch that an
+    executor or the driver lost is run again from state and overwrites its own part.
     """
-    home, before = scratch(spark, "op7"), {k: spark.conf.get(k, None) for k in STATE}
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{home}/state/part={number}")
+    def __init__(self, spark: SparkSession, home: str, *, digest_bytes: int = 32, files_per_batch: int = FILES_PER_BATCH):
+        self.spark, self.home, self.digest_bytes, self.files_per_batch = spark, home, digest_bytes, files_per_batch
+        spark.createDataFrame([], f"digest binary, best {BEST}, n bigint").write.mode("ignore").parquet(f"{home}/state/part=-1")
+
+    def rows(self) -> DataFrame:
+        """Every row delivered, with its delivery."""
+        return self.spark.read.schema(f"{ROWS}, delivery int").parquet(f"{self.home}/digests")
+
+    def state(self) -> DataFrame:
+        """digest, best, n: the last of each digest."""
+        parts = self.spark.read.schema(f"digest binary, best {BEST}, n bigint, part int").parquet(f"{self.home}/state")
+        if parts.agg(F.max("part")).first()[0] in (None, 0):  # there was one batch: each digest is there once
+            return parts.drop("part")
+        return parts.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "part").alias("last")).select("digest", "last.best", "last.n")
+
+    def stream(self) -> None:
+        """Runs what is new in the digest table through the state."""
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.home}/state/part={number}")
+
+        with settings(self.spark, STATE):
+            new = self.spark.readStream.schema(f"{ROWS}, delivery int").option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.home}/digests")
+            grouped = new.groupBy("digest").agg(_best().alias("best"), F.count("*").alias("n"))
+            grouped.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def deliver(self, docs: DataFrame, number: int = 0) -> DataFrame:
+        """Adds `docs` as delivery `number` and gives the groups of its rows, as `exact_groups` has them, among all delivered.
+
+        A number that was delivered before is an error.
+        """
+        with settings(self.spark, TIDY):
+            digests(docs, self.digest_bytes).write.parquet(f"{self.home}/digests/delivery={number}")
+        self.stream()
+        rows, state = self.rows(), self.state()
+        wrong = stored(colliding(self.texts(docs, number, state), state, self.digest_bytes), "op7-unlike")
+        own = rows.where(F.col("delivery") == number)
+        if not wrong.limit(1).count():
+            return _grouped(own.join(state, "digest"))
+        # unlike texts share a digest: the bytes of all its texts decide
+        texts = self.texts(docs, number, wrong.withColumn("n", F.lit(2)))
+        split = _with_bytes(texts, self.digest_bytes).join(wrong, "digest")
+        told = split.join(split.groupBy("bytes").agg(_best().alias("best"), F.count("*").alias("n")), "bytes").where("own").drop("bytes", "own")
+        return _grouped(own.join(wrong, "digest", "left_anti").join(state, "digest").select(*told.columns).union(told))
+
+    def texts(self, docs: DataFrame, number: int, hit: DataFrame) -> DataFrame:
+        """The rows of `docs` with their texts, and earlier rows of the digests in `hit` (digest, n) that have more than one, read by their locators."""
+        now = located(docs).withColumn("own", F.lit(True))
+        before = self.rows().where(F.col("delivery") != number)
+        if not before.limit(1).count():
+            return now
+        asked = before.join(hit.where("n > 1"), "digest", "left_semi")
+        files = [r["file"] for r in asked.select("file").distinct().collect()]  # names of files, not of rows
+        if None in files:
+            raise ValueError("earlier deliveries have no locators: deliver plain scans of files")
+        if not files:
+            return now
+        there = self.spark.read.parquet(*files)
+        found = there.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), "text")
+        return now.union(asked.join(found, ["file", "at"]).select(*now.columns[:-1], F.lit(False).alias("own")))
+
+
+def _with_bytes(texts: DataFrame, digest_bytes: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [normalised(t.as_py()) for t in batch.column(5)]
+            sha = [hashlib.sha256(x).digest() for x in raw]
+            columns = [*(batch.column(i) for i in range(5)), batch.column(6), pa.array([x[:digest_bytes] for x in sha], pa.binary()), pa.array(sha, pa.binary()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "chars", "file", "at", "own", "digest", "sha", "bytes"])
 
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(table)
-        grouped = stream.groupBy("digest").agg(_best().alias("best"), F.count("*").alias("n"))
-        query = grouped.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    empty = spark.createDataFrame([], "digest binary, best struct<less:bigint,without:boolean,doc_id:bigint,row:bigint>, n bigint, batch int")
-    if query.lastProgress is None or not any(p["batchId"] >= 0 and p["numInputRows"] for p in query.recentProgress):
-        return empty.drop("batch")
-    out = spark.read.schema(empty.schema).option("basePath", f"{home}/state").parquet(f"{home}/state").select(*empty.columns)
-    if len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) == 1:
-        return out.drop("batch")
-    return out.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("last")).select("digest", "last.best", "last.n")
-
-
-def colliding(docs: DataFrame, state: DataFrame, digest_bytes: int) -> DataFrame:
+    return texts.mapInArrow(run, "doc_id bigint, row bigint, chars bigint, file string, at bigint, own boolean, digest binary, sha binary, bytes binary")
+
+
+def colliding(texts: DataFrame, state: DataFrame, digest_bytes: int) -> DataFrame:
     """Digests with unlike texts. All bytes of all rows of a digest met more than once are compared.
 
     Inside a task, each text is compared with the first of its digest; between
     tasks, one text per task and digest is. So a large group moves little.
     """
     many = KeyFilter.build(state.where("n > 1").select(F.xxhash64("digest").alias("key")))
-    shared = docs.sparkSession.sparkContext.broadcast(many.words)
+    shared = texts.sparkSession.sparkContext.broadcast(many.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,49 +192,39 @@ def colliding(docs: DataFrame, state: DataFrame, digest_bytes: int) -> DataFrame
         if met:
             yield out(list(met), list(met.values()))
 
-    checked = docs.select("text").mapInArrow(run, "digest binary, bytes binary")
+    checked = texts.select("text").mapInArrow(run, "digest binary, bytes binary")
     compared = checked.groupBy("digest").agg(F.max(F.col("bytes").isNull()).alias("wrong"), F.min("bytes").alias("a"), F.max("bytes").alias("b"))
     return compared.where("wrong OR a <> b").select("digest")
 
 
+def _grouped(joined: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, row, keep_row, of rows joined with the state of their group."""
+    same = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("row") == F.col("best.row"))
+    if joined.groupBy("digest", "doc_id", "row").count().where("count > 1").limit(1).count():
+        # rows with the same id and text are counted, so that no task has to hold them, and dealt out again: the first is kept
+        counted = joined.groupBy("digest", "sha", "doc_id", "row", "best", "n").count()
+        joined = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+        same = same & (F.col("copy") == 1)
+    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), same.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row", F.col("best.row").alias("keep_row"))
+
+
 def exact_groups(docs: DataFrame, *, digest_bytes: int = 32, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """One row per row of `docs` (doc_id, text), dropped ones too.
+    """One row per row of `docs` (doc_id, text), dropped ones too: a ledger with one delivery.
 
     doc_id, keep_id, group_size, kept, text_sha256, row, keep_row. Texts are equal
     when identical without white space; a null text counts as empty. Of equal texts
     the one with the most code points, then the smallest doc_id stays, a null doc_id
     last. Rows that repeat a doc_id with the same text count as copies, of which
-    one is kept; which of wholly equal rows does not matter.
+    one is kept; which of wholly equal rows does not matter. An empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    table = f"{scratch(spark, 'op7')}/digests"
-    digests(docs, digest_bytes).write.parquet(table)
-    rows = spark.read.parquet(table)
-    state = stream_state(spark, table, rows.schema, files_per_batch=files_per_batch)
-    wrong = [r["digest"] for r in colliding(docs, state, digest_bytes).limit(1).collect()]
-    if wrong:  # a digest is shared by unlike texts: the full hash, that is their text, decides
-        state = rows.groupBy("sha").agg(_best().alias("best"), F.count("*").alias("n")).withColumnRenamed("sha", "digest")
-        rows = rows.withColumn("digest", F.col("sha"))
-    joined = rows.join(state, "digest")
-    # of rows with the same id and text, the first is kept
-    same = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("row") == F.col("best.row"))
-    twice = rows.groupBy("digest", "doc_id", "row").count().where("count > 1").limit(1).count()
-    if twice:
-        order = F.row_number().over(Window.partitionBy("digest", "doc_id", "row").orderBy("chars"))
-        joined = joined.withColumn("copy", F.when(same, order).otherwise(0))
-        same = F.col("copy") == 1
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), same.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row", F.col("best.row").alias("keep_row"))
+    return Ledger(spark, scratch(spark, "op7"), digest_bytes=digest_bytes, files_per_batch=files_per_batch).deliver(docs)
 
 
 def drop_copies(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay."""
+    """The rows of `docs`, with all their columns, that stay; what `exact_groups` drops goes, and no text is shuffled for that but of rows with such ids."""
     groups = exact_groups(docs, digest_bytes=digest_bytes)
-    # few repeat both id and text: of those, one row stays if any does
-    fate = groups.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__key")).agg(F.count_if(F.col("kept")).alias("__stay"), F.count("*").alias("__all")).where("__stay < __all")
-    marked = docs.withColumn("__row", row_key())
-    met = marked.join(fate, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")), "left")
-    stays = met.where("__stay IS NULL").select(*docs.columns)
-    if fate.where("__stay > 0").limit(1).count():
-        one = Window.partitionBy("__id", "__row").orderBy(*(c for c in docs.columns if c != "text"))
-        stays = stays.unionByName(met.where("__stay > 0").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns))
-    return stays
+    # rows may repeat both id and text: of those, one row stays if any does
+    fate = groups.groupBy("doc_id", "row").agg(F.count_if("kept").alias("stay"), F.count("*").alias("all")).where("stay < all")
+    return without(docs, stored(fate.select("doc_id", "row", "stay"), "op7-dropped"))
