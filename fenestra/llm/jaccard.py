@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import KeyFilter, components, cut, mix64, stored
+from fenestra.llm.common import KeyFilter, Scratch, components, cut, mix64, stored, without
 
 #: Bytes of text that are hashed at once, about.
 PIECE = 1 << 20
@@ -46,6 +46,8 @@ MEMORY = 300_000
 CHANCE = 75.0
 #: Bits of a sketch for each shingle, about, and its size in words at least and at most.
 SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
+#: Rows of one bucket that a task holds as they come, rows of a block in which it compares, and pairs that it keeps back.
+RUN_ROWS, BLOCK, FLUSH_PAIRS = 2_000_000, 4096, 200_000
 #: Rounds in which each component tries the nearest class beside it.
 NEAREST_ROUNDS = 2
 
@@ -277,50 +279,72 @@ def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """class, shingles: the sets of the classes in `wanted` (class), and perhaps a few others."""
+    """class, n, sketch, shingles: the sets of the classes in `wanted` (class), perhaps repeated, and perhaps a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(wanted).words)
+    names = ["class", "n", "sketch", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, test, met = Shingler(words), KeyFilter(shared.value), set()
         for batch in batches:
-            who, raw, size = [], [], 0
+            out, size = [], 0
             for s in shingler.sets(batch.column(0).to_pylist()):
                 if not len(s) or (c := class_of(s)) in met or c not in test:
                     continue
                 met.add(c)
-                who.append(c)
-                raw.append(s.tobytes())
-                size += len(raw[-1])
+                out.append((c, len(s), sketch(s).tobytes(), s.tobytes()))
+                size += 8 * len(s)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(raw, pa.binary())], names=["class", "shingles"])
-                    who, raw, size = [], [], 0
-            if who:
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(raw, pa.binary())], names=["class", "shingles"])
+                    yield _columns(out, names)
+                    out, size = [], 0
+            if out:
+                yield _columns(out, names)
             if len(met) > MEMORY:
                 met.clear()
 
-    return docs.select("text").mapInArrow(run, "class bigint, shingles binary")
+    return docs.select("text").mapInArrow(run, "class bigint, n bigint, sketch binary, shingles binary")
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"class": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "shingles": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
 # ---------------------------------------------------------------- buckets
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by k, in pieces that end where a bucket ends."""
-    left = None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(k, class) of rows sorted by k, in pieces that end where a bucket ends; a bucket of more than RUN_ROWS rows comes in pieces of its own, marked True."""
+    held, size, large = [], 0, None
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        k, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        cut = int(np.searchsorted(k >> 1, large, "right")) if large is not None else 0
+        if cut:
+            yield k[:cut], c[:cut], True
+        if cut < len(k):
+            yield k[cut:], c[cut:], False
+
     for batch in batches:
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        if left is not None:
-            now = {c: np.concatenate((left[c], now[c])) for c in now}
-        bucket = now["k"] >> 1
-        if not len(bucket):
+        k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(k):
             continue
-        end = int(np.searchsorted(bucket, bucket[-1]))
-        left = {c: v[end:] for c, v in now.items()}
+        last = k[-1] >> 1
+        end = int(np.searchsorted(k >> 1, last))  # where the batch's last bucket starts
         if end:
-            yield {c: v[:end] for c, v in now.items()}
-    if left is not None and len(left["k"]):
-        yield left
+            held.append((k[:end], c[:end]))
+        if held and (end or held[-1][0][-1] >> 1 != last):
+            yield from out()
+            held, size = [], 0
+        if large != last:
+            large = None
+        held.append((k[end:], c[end:]))
+        size += len(k) - end
+        if size > RUN_ROWS:
+            large = last
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
 
 
 def _starts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,15 +356,18 @@ def _starts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets with two classes or more, of which one is indexed; each class once.
 
-    The new key of a bucket is a hash of its rows: buckets with the same rows become equal.
+    The new key of a bucket is a hash of its rows: buckets with the same rows become
+    equal. A bucket too large to be held keeps its key and all its rows.
     """
-    for rows in _runs(batches):
-        k, c = rows["k"], rows["class"]
+    for k, c, part in _runs(batches):
         order = np.lexsort((k & 1, c, k >> 1))
         k, c = k[order], c[order]
         bucket = k >> 1
         once = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1])))
         probe, c, bucket = k[once] & 1, c[once], bucket[once]
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(k[once]), pa.array(c)], names=["k", "class"])
+            continue
         start, size = _starts(bucket)
         indexed = np.add.reduceat(1 - probe, start)
         with np.errstate(over="ignore"):
@@ -355,67 +382,119 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
 
 
-def _mixed_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets that still hold classes of several components."""
-    for rows in _runs(batches):
-        start, size = _starts(rows["k"] >> 1)
-        mixed = np.repeat(np.minimum.reduceat(rows["component"], start) != np.maximum.reduceat(rows["component"], start), size)
-        if mixed.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c][mixed]) for c in ("k", "class", "component")], names=["k", "class", "component"])
+def _dealt(marked: DataFrame, mode: str, space: Scratch) -> DataFrame:
+    """bucket, block, role, probe, class, component: what a bucket's rows have to be compared with, dealt into blocks.
+
+    Of `marked` (k, class, component). Each row lies in one block of about BLOCK rows of
+    its bucket. Rows that ask come to all blocks: role 1 in their own, 2 in the others; all
+    others have role 0. In mode centre the first indexed class asks, else every row
+    that isn't in the bucket's largest component. Buckets of one component are left out.
+    """
+    rows = marked.select(F.shiftright("k", 1).alias("bucket"), F.col("k").bitwiseAND(1).cast("int").alias("probe"), "class", "component")
+    first = F.min(F.when(F.col("probe") == 0, F.col("class")))
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), first.alias("centre"))
+    most = F.max(F.struct("n", "component"))
+    buckets = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.min("centre").alias("centre"), most["component"].alias("main"), F.count("*").alias("parts"))
+    blocks = F.expr(f"cast((size - 1) div {BLOCK} + 1 AS int)")
+    mixed = space.put(buckets.where("parts > 1 AND centre IS NOT NULL").select("bucket", "centre", "main", blocks.alias("blocks")))
+    asks = (F.col("class") == F.col("centre")) if mode == "centre" else (F.col("component") != F.col("main"))
+    own = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int")
+    met = rows.join(mixed, "bucket").withColumn("asks", asks).withColumn("own", own)
+    met = met.withColumn("block", F.explode(F.when(F.col("asks") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    return met.select("bucket", "block", F.when(~F.col("asks"), 0).when(F.col("block") == F.col("own"), 1).otherwise(2).alias("role"), "probe", "class", "component")
 
 
 def _pairs(mode: str, percent: int):
-    """(a, b): classes of a bucket in different components whose sizes and sketches allow a link.
+    """(a, b, far, part): classes of a block in different components whose sizes and sketches allow a link.
 
-    mode centre: a is the first indexed class of the bucket. nearest: of each
-    component but the largest the pair with the nearest sketches. all: all pairs.
+    Rows come sorted by bucket, block and role. A block (roles 0 and 1) is held, and the
+    asking rows (1 and 2) run past it. mode nearest: of each asking component only the pair
+    with the nearest sketches. Pairs leave as they are found.
     """
 
-    def of_bucket(c, n, part, probe, sketches) -> Iterator[np.ndarray]:
-        words = min(map(len, sketches)) // 8
-        bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in sketches])
-        if mode == "centre":
-            asking = [int(np.lexsort((c, probe))[0])]
-        else:  # rows of the largest component are met by all others, and not by each other
-            parts, counts = np.unique(part, return_counts=True)
-            asking = np.flatnonzero(part != parts[np.argmax(counts)]).tolist()
-        open_, best = np.ones(len(c), bool), {}
-        for i in asking:
-            open_[i] = mode == "nearest"
-            room = (n[i] + n) * (100 - percent) // (100 + percent)
-            fits = np.flatnonzero(open_ & (part != part[i]) & (probe + probe[i] < 2) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * percent))
-            if not len(fits):
-                continue
-            far = np.bitwise_count(bits[fits] ^ bits[i]).sum(axis=1)
-            near = far <= room[fits]
-            fits, far = fits[near], far[near]
-            if mode == "nearest":
-                if len(fits):
-                    j = int(np.lexsort((c[fits], far))[0])
-                    best[part[i]] = min(best.get(part[i], (1 << 40, 0, 0)), (int(far[j]), int(c[i]), int(c[fits[j]])))
-            elif len(fits):
-                yield np.stack((np.full(len(fits), c[i]), c[fits]), axis=1) if mode == "centre" else np.stack((np.minimum(c[i], c[fits]), np.maximum(c[i], c[fits])), axis=1)
-        if best:
-            yield np.sort(np.array([x[1:] for x in best.values()], np.int64), axis=1)
+    class Block:
+        def __init__(self, rows: list[tuple]):
+            self.role, self.probe, self.c, self.part, self.n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+            self.words = min(len(r[5]) for r in rows) // 8
+            self.bits = np.stack([fold(np.frombuffer(r[5], np.uint64), self.words) for r in rows])
+            self.best: dict[int, tuple[int, int, int]] = {}
+
+        def ask(self, row: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Classes of the block that may link with the row's, and how far their sketches are."""
+            role, probe, c, part, n, raw = row
+            words = min(self.words, len(raw) // 8)
+            bits = self.bits if words == self.words else np.stack([fold(x, words) for x in self.bits])
+            room = (n + self.n) * (100 - percent) // (100 + percent)
+            # of two rows that both ask, one does
+            fits = (self.part != part) & (self.probe + probe < 2) & (np.minimum(n, self.n) * 100 >= np.maximum(n, self.n) * percent) & ((self.role == 0) | (self.c > c))
+            at = np.flatnonzero(fits)
+            far = np.bitwise_count(bits[at] ^ fold(np.frombuffer(raw, np.uint64), words)).sum(axis=1).astype(np.int64)
+            near = far <= room[at]
+            at, far = at[near], far[near]
+            if not len(at):
+                return
+            if mode != "nearest":
+                yield self.c[at], far
+                return
+            for j in np.unique(np.concatenate(([np.lexsort((self.c[at], far))[0]], np.flatnonzero(self.role[at] == 1)))):
+                # the other one of two asking rows has this pair among its own
+                for p in (part, int(self.part[at[j]])) if self.role[at[j]] == 1 else (part,):
+                    self.best[p] = min(self.best.get(p, (1 << 40, 0, 0)), (int(far[j]), int(c), int(self.c[at[j]])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
-
         found, size = [], 0
-        for rows in _runs(batches):
-            start, sizes = _starts(rows["k"] >> 1)
-            for lo, m in zip(start.tolist(), sizes.tolist(), strict=True):
-                at = slice(lo, lo + m)
-                for pairs in of_bucket(rows["class"][at], rows["n"][at], rows["component"][at], rows["k"][at] & 1, rows["sketch"][at]):
-                    found.append(pairs)
-                    size += len(pairs)
-            if size > 200_000:
-                yield out(found)
-                found, size = [], 0
-        if found:
-            yield out(found)
+
+        def out() -> pa.RecordBatch:
+            a, b, far, part = (np.concatenate([x[i] for x in found]) for i in range(4))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)) if mode != "centre" else pa.array(a), pa.array(np.maximum(a, b)) if mode != "centre" else pa.array(b), pa.array(far), pa.array(part)], names=["a", "b", "far", "part"])
+
+        def asked(block: Block, row: tuple) -> None:
+            nonlocal size
+            for c, far in block.ask(row):
+                found.append((np.full(len(c), row[2]), c, far, np.full(len(c), row[3])))
+                size += len(c)
+
+        def closed(block: Block) -> None:
+            nonlocal size
+            if block.best:
+                x = np.array([(a, b, far, part) for part, (far, a, b) in block.best.items()], np.int64)
+                found.append((x[:, 0], x[:, 1], x[:, 2], x[:, 3]))
+                size += len(x)
+
+        key, rows, block = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "probe", "class", "component", "n", "sketch")]
+            for row in zip(*columns, strict=True):
+                if row[:2] != key:
+                    if block is None and rows:
+                        block = Block(rows)
+                        for r in rows:
+                            if r[0] == 1:
+                                asked(block, r)
+                    if block is not None:
+                        closed(block)
+                    key, rows, block = row[:2], [], None
+                if row[2] < 2:
+                    rows.append(row[2:])
+                elif rows:
+                    if block is None:
+                        block = Block(rows)
+                        for r in rows:
+                            if r[0] == 1:
+                                asked(block, r)
+                    asked(block, row[2:])
+                if size > FLUSH_PAIRS:
+                    yield out()
+                    found, size = [], 0
+        if block is None and rows:
+            block = Block(rows)
+            for r in rows:
+                if r[0] == 1:
+                    asked(block, r)
+        if block is not None:
+            closed(block)
+        if size:
+            yield out()
 
     return run
 
@@ -423,20 +502,18 @@ def _pairs(mode: str, percent: int):
 # ---------------------------------------------------------------- verification
 
 
-def _sketched(sets: DataFrame) -> DataFrame:
-    """class, n, sketch."""
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; only the sets of classes in `pairs` are moved."""
+    shared = KeyFilter.build(pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    words = pairs.sparkSession.sparkContext.broadcast(shared.words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = KeyFilter(words.value)
         for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s).tobytes() for s in found], pa.binary())], names=["class", "n", "sketch"])
-
-    return sets.select("class", "shingles").mapInArrow(run, "class bigint, n bigint, sketch binary")
-
+            yield batch.filter(pa.array(test.test(batch.column(0).to_numpy())))
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    some = space.put(sets.select("class", "shingles").mapInArrow(asked, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,7 +526,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+    return space.put(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -464,32 +541,37 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component: classes that link with others."""
-    shared = stored(_by_bucket(_index(docs, words, percent)).mapInArrow(_shared_buckets, "k bigint, class bigint").distinct(), "op5-shared")
-    sets = stored(_sets_of(docs, words, shared.select("class").distinct()).groupBy("class").agg(F.first("shingles").alias("shingles")), "op5-sets")
-    sketches = stored(_sketched(sets), "op5-sketches")
+    space = Scratch(docs.sparkSession, "op5")
+    shared = space.put(_by_bucket(_index(docs, words, percent)).mapInArrow(_shared_buckets, "k bigint, class bigint").distinct())
+    sets = space.put(_sets_of(docs, words, shared.select("class").distinct()))
+    sketches = space.put(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     parts = tried = None
     for mode in ("centre", *("nearest",) * NEAREST_ROUNDS, "all"):
         marked = shared if parts is None else shared.join(parts.withColumnRenamed("node", "class"), "class", "left")
         marked = marked.select("k", "class", (F.col("class") if parts is None else F.coalesce("component", "class")).alias("component"))
-        mixed = _by_bucket(marked).mapInArrow(_mixed_buckets, "k bigint, class bigint, component bigint")
-        pairs = _by_bucket(mixed.join(sketches, "class")).mapInArrow(_pairs(mode, percent), "a bigint, b bigint")
+        dealt = _dealt(marked, mode, space).join(sketches, "class")
+        pairs = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role").mapInArrow(_pairs(mode, percent), "a bigint, b bigint, far bigint, part bigint")
         if mode == "centre":  # each class with the first of its centres
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        elif mode == "nearest":  # each component with the nearest class beside it
+            pairs = pairs.groupBy("part").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b")
+        pairs = pairs.select("a", "b").distinct()
+        pairs = space.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = _verify(pairs, sets, percent)
+        fresh = _verify(pairs, sets, percent, space)
         if parts is None or fresh.limit(1).count():
             parts = components(fresh) if parts is None else _merged(parts, fresh)
+    space.drop()
     if parts is None:
         return docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     return parts
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, row.
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, row,
+    kept (it is the first row of its group).
 
     Words are runs of anything but white space, A-Z lower-cased; shingles are
     `words` consecutive ones; a text with fewer is one shingle. Documents link when
@@ -501,18 +583,25 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     """
     rows = stored(_summaries(docs, words), "op5-rows")
     parts = _linked(docs, words, percent)
-    own = F.when(F.col("n") == 0, F.concat_ws(" ", F.lit("row"), "doc_id", "row")).otherwise(F.concat_ws(" ", F.coalesce("component", F.col("class")), F.when(F.col("component").isNull(), F.col("n"))))
-    placed = rows.join(parts.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "row", "n", own.alias("group"))
-    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
+    # first by class, so that what meets in one component is a row a class, and then by component
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    classes = rows.where("n > 0").groupBy("class").agg(first.alias("first")).join(parts.withColumnRenamed("node", "class"), "class", "left")
+    classes = stored(classes.select("class", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked"), "first"), "op5-classes")
+    least = stored(classes.where("linked").groupBy("component").agg(F.min("first").alias("least")), "op5-least")
+    named = stored(classes.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("best")), "op5-named")
+    # a row without shingles is alone
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(True).alias("kept"))
+    placed = rows.where("n > 0").join(named, "class")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), "row", kept.alias("kept")).union(alone)
 
 
 def drop_near(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all their columns, but one of each group of linked documents: that with the smallest doc_id.
 
-    Of equal texts, too, one row stays; documents without words all stay.
+    Of equal texts, too, one row stays, also where the doc_id is the same; documents
+    without words all stay.
     """
     groups = near_groups(docs, words=words, percent=percent)
-    keep = groups.where("n_shingles = 0 OR doc_id IS NULL AND component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("row").alias("__key")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return marked.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")), "left_semi").select(*docs.columns)
+    fate = groups.groupBy("doc_id", "row").agg(F.when(~F.first("kept"), 0).when(F.first("n_shingles") > 0, 1).otherwise(F.count("*")).alias("stay"), F.count("*").alias("all")).where("stay < all")
+    return without(docs, stored(fate.select("doc_id", "row", "stay"), "op5-dropped"))

@@ -35,7 +35,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("row")
+    return jaccard.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).drop("row", "kept")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fenestra.llm import jaccard
@@ -81,6 +82,43 @@ def test_last_round_alone_finds_all(spark, monkeypatch, skipped):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 75)
 
 
+def test_blocks_and_large_buckets(spark, monkeypatch):
+    """Buckets dealt into many small blocks, and too large to be held, give the same."""
+    for name in ("RUN_ROWS", "BLOCK", "FLUSH_PAIRS"):
+        monkeypatch.setattr(jaccard, name, 5)
+    rows = fixture(8, 100)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for modes in ((), ("centre", "nearest")):
+        whole = jaccard._pairs
+        monkeypatch.setattr(jaccard, "_pairs", lambda mode, percent: (lambda batches: iter(())) if mode in modes else whole(mode, percent))  # noqa: B023
+        got = near_groups(df, words=3, percent=75).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 75)
+        monkeypatch.setattr(jaccard, "_pairs", whole)
+
+
+def test_runs_of_large_buckets(monkeypatch):
+    rng = np.random.default_rng(2)
+    for most in (3, 10, 1000):
+        monkeypatch.setattr(jaccard, "RUN_ROWS", most)
+        k = np.sort(rng.integers(0, 30, 500) ** 2 // 40 * 2)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x + 7)], names=["k", "class"]) for x in np.split(k, np.sort(rng.integers(0, 500, 12)))]
+        pieces = list(jaccard._runs(iter(batches)))
+        assert np.concatenate([p[0] for p in pieces]).tolist() == k.tolist()
+        whole = [set((p[0] >> 1).tolist()) for p in pieces if not p[2]]
+        parts = {b for p in pieces if p[2] for b in (p[0] >> 1).tolist()}
+        assert sum(map(len, whole)) == len(set().union(*whole)) and not parts & set().union(*whole)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    schema = "doc_id bigint, text string, __row string, class string, it int"
+    same = "the very same seven words in here"
+    docs = spark.createDataFrame([(1, same, "a", "b", 1), (1, same, "a", "b", 1), (1, same + " x", "c", "d", 2), (2, same, "e", "f", 3), (3, "alone", None, None, None), (4, None, "g", "h", 4), (4, None, "g", "h", 4)], schema)
+    kept = drop_near(docs, words=1, percent=80)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 4]
+    assert {r["__row"] for r in kept.collect() if r.doc_id == 1} < {"a", "c"}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(4)
     for size in (3, 40, 700, 9000):
