@@ -19,7 +19,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Characters that are not white space: a word for sizes and shingles.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Words of letters, digits and everything beyond ASCII, for texts not yet lower-cased.
-ALNUM_REGEX = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ALNUM_REGEX = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: bytes.translate table: separators of ALNUM words become spaces, A-Z become a-z.

@@ -9,8 +9,9 @@ document is a candidate, and only of candidates the postings of all item words a
 stored and intersected. Runs of agreeing positions as long as a window are exact
 phrases. Seeds that agree up to a few words are proximity matches.
 
-Seeds are found in lower-cased texts, phrases in texts with A-Z lower-cased: what
-agrees there agrees here, too.
+Items are told apart by identifier and text together, so that a repeated item counts
+once and a repeated or null identifier does no harm. Words have A-Z lower-cased on
+both sides and no other letters.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import ALNUM_GAP, ALNUM_REGEX, cut, row_key, stored
+from fenestra.llm.common import ALNUM_GAP, ALNUM_REGEX, cut, row_key, sifted, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
@@ -42,27 +43,25 @@ def _bounded(items: DataFrame) -> DataFrame:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, n, word, seek: words of the items by position; `seek` is the lower-cased form."""
-    split = benchmark.where("text IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
-    placed = split.select("item_id", F.posexplode(F.filter("w", lambda x: x != "")).alias("at", "raw"))
-    n = F.count("*").over(Window.partitionBy("item_id"))
-    return placed.select("item_id", "at", n.alias("n"), lower_ascii(F.col("raw")).alias("word"), F.lower("raw").alias("seek"))
+    """item (number of an item_id with a text), item_id, at, n, word: words of the items by position."""
+    split = benchmark.where("text IS NOT NULL").select("item_id", words(lower_ascii(F.col("text"))).alias("w"), F.xxhash64("item_id", "text").alias("item")).distinct()
+    whole = split.withColumn("w", F.filter("w", lambda x: x != ""))
+    return whole.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
 
 
 def seeds(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """item_id, at, seek, need: positions of the rarest terms of every window; a start needs so many of them."""
-    known = items.join(counts, "seek", "left").select("item_id", "at", "n", "seek", F.coalesce("df", F.lit(0)).alias("df"))
+    """item, item_id, at, word, need: positions of the rarest terms of every window; a start needs so many of them."""
+    known = items.join(counts, "word", "left").select("item", "item_id", "at", "n", "word", F.coalesce("df", F.lit(0)).alias("df"))
     last = F.greatest(F.col("n") - window, F.lit(0))
-    starts = F.sequence(F.greatest(F.col("at") - window + 1, F.lit(0)), F.least(F.col("at").cast("bigint"), last).cast("int"))
+    starts = F.sequence(F.greatest(F.col("at") - window + 1, F.lit(0)), F.least("at", last))
     in_window = known.select("*", F.explode(starts).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "start").orderBy("df", "at"))
-    return in_window.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select("item_id", "at", "seek", F.least(F.lit(SEEDS), F.col("n")).cast("int").alias("need")).distinct()
+    rank = F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "at"))
+    return in_window.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select("item", "item_id", "at", "word", F.least(F.lit(SEEDS), F.col("n")).cast("int").alias("need")).distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, row, pos, seek: the places of `terms` in all documents."""
-    placed = docs.where("text IS NOT NULL").select("doc_id", "row", F.posexplode(words(F.lower("text"))).alias("pos", "seek"))
-    return placed.join(terms, "seek").select("doc_id", "row", "pos", "seek")
+def placed_words(texts: DataFrame) -> DataFrame:
+    """doc_id, row, pos, word: all words of all `texts` (doc_id, row, text)."""
+    return texts.where("text IS NOT NULL").select("doc_id", "row", F.posexplode(words(lower_ascii(F.col("text")))).alias("pos", "word"))
 
 
 def in_proximity(agreed: DataFrame) -> DataFrame:
@@ -71,40 +70,40 @@ def in_proximity(agreed: DataFrame) -> DataFrame:
     `agreed` has one row a start, with the offsets (ats) that give it. The range slides
     over the starts, so that no match depends on where it lies.
     """
-    ahead = Window.partitionBy("doc_id", "row", "item_id").orderBy(F.col("start").cast("bigint")).rangeBetween(0, SLOP)
+    ahead = Window.partitionBy("doc_id", "row", "item").orderBy(F.col("start").cast("bigint")).rangeBetween(0, SLOP)
     inside = F.collect_list(F.struct("start", "ats")).over(ahead)
     offsets = F.size(F.array_distinct(F.flatten(F.transform("inside", lambda s: s["ats"]))))
     # one word that an item has at several places is one word
     places = F.size(F.array_distinct(F.flatten(F.transform("inside", lambda s: F.transform(s["ats"], lambda at: s["start"] + at)))))
-    seen = agreed.where("need > 1").withColumn("inside", inside).select("doc_id", "row", "item_id", "need", F.least(offsets, places).alias("seen"))
+    seen = agreed.where("need > 1").withColumn("inside", inside).select("doc_id", "row", "item", "item_id", "need", F.least(offsets, places).alias("seen"))
     return seen.where("seen >= need").groupBy("doc_id", "row", "item_id").agg(F.max("seen").alias("near"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Exact matches (doc_id, row, item_id, pos: words inside occurring windows) and proximity matches (doc_id, row, item_id, near)."""
-    keyed = docs.select(F.col("doc_id"), row_key().alias("row"), "text")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text")
     items = cut(item_words(benchmark))
-    vocabulary = _bounded(items.select("seek").distinct())
-    every = keyed.where("text IS NOT NULL").select(F.explode(words(F.lower("text"))).alias("seek"))
-    counts = every.join(vocabulary, "seek", "left_semi").groupBy("seek").agg(F.count("*").alias("df"))
+    vocabulary = _bounded(items.select("word").distinct())
+    counts = placed_words(keyed).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     seeded = cut(seeds(items, counts, window))
     # the stored index: postings of the seeds
-    index = stored(postings(keyed, _bounded(seeded.select("seek").distinct())), "op9-postings")
-    starts = index.join(_bounded(seeded), "seek").select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("start"), "need", "at")
+    index = stored(placed_words(keyed).join(_bounded(seeded.select("word").distinct()), "word").select("doc_id", "row", "pos", "word"), "op9-postings")
+    starts = index.join(_bounded(seeded), "word").select("doc_id", "row", "item", "item_id", (F.col("pos") - F.col("at")).alias("start"), "need", "at")
     # dealt by document and item, so that the starts of both are at one place to slide over
-    agreed = starts.repartition("doc_id", "row", "item_id").groupBy("doc_id", "row", "item_id", "start").agg(F.collect_set("at").alias("ats"), F.first("need").alias("need"))
-    candidates = cut(agreed.where("size(ats) >= need").select("doc_id", "row", "item_id", "start"))
+    agreed = starts.repartition("doc_id", "row", "item").groupBy("doc_id", "row", "item", "item_id", "start").agg(F.collect_set("at").alias("ats"), F.first("need").alias("need"))
+    candidates = cut(agreed.where("size(ats) >= need").select("doc_id", "row", "item", "start"))
     near = in_proximity(agreed)
     # all postings of the candidates, met with the words their items expect at each position
     who = candidates.select(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row")).distinct()
-    texts = keyed.where("text IS NOT NULL").join(who, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left_semi").dropDuplicates(["doc_id", "row"])
-    full = texts.select(F.col("doc_id").alias("t_id"), F.col("row").alias("t_row"), F.posexplode(words(lower_ascii(F.col("text")))).alias("pos", "found"))
-    expected = candidates.join(_bounded(items), "item_id").select("doc_id", "row", "item_id", "start", "n", "at", (F.col("start") + F.col("at")).alias("expect"), "word")
+    maybe, _ = sifted(keyed.where("text IS NOT NULL"), candidates)
+    texts = maybe.join(who, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left_semi").dropDuplicates(["doc_id", "row"])
+    full = placed_words(texts).select(F.col("doc_id").alias("t_id"), F.col("row").alias("t_row"), "pos", F.col("word").alias("found"))
+    expected = candidates.join(_bounded(items), "item").select("doc_id", "row", "item", "item_id", "start", "n", "at", (F.col("start") + F.col("at")).alias("expect"), "word")
     same = (F.col("row") == F.col("t_row")) & (F.col("expect") == F.col("pos")) & (F.col("word") == F.col("found")) & F.col("doc_id").eqNullSafe(F.col("t_id"))
-    met = expected.join(full, same).select("doc_id", "row", "item_id", "start", "n", "at", "pos")
-    line = Window.partitionBy("doc_id", "row", "item_id", "start")
+    met = expected.join(full, same).select("doc_id", "row", "item", "item_id", "start", "n", "at", "pos")
+    line = Window.partitionBy("doc_id", "row", "item", "start")
     runs = met.withColumn("run", F.col("at") - F.row_number().over(line.orderBy("at")))
-    whole = runs.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "row", "item_id", "start", "run"))).where(F.col("size") >= F.least(F.col("n"), F.lit(window)))
+    whole = runs.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "row", "item", "start", "run"))).where(F.col("size") >= F.least(F.col("n"), F.lit(window)))
     return whole.select("doc_id", "row", "item_id", "pos"), near
 
 
@@ -114,7 +113,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items met in
     proximity). A null or empty text has no words and no hits; an item with fewer
     words than a window is one window, one without words none. Repeated rows have
-    equal results.
+    equal results. Items that repeat count once, and so do unlike texts of one
+    item_id; a null item_id counts as an item, but has no name in items_sha256. An
+    empty benchmark hits nothing. Other columns, whatever their names, are ignored.
     """
     exact, near = find(docs, benchmark, window=window)
     by_item = exact.groupBy("doc_id", "row", "item_id").agg(F.collect_set("pos").alias("at"))
@@ -127,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     both = hits.withColumn("n_near", none.cast("bigint")).unionByName(close.select("doc_id", "row", *(none.cast(t).alias(c) for c, t in hits.dtypes[2:]), "n_near"))
     found = both.groupBy(F.col("doc_id").alias("h_id"), F.col("row").alias("h_row")).agg(*(F.max(c).alias(c) for c in ("n_hit", "n_items", "items_sha256", "n_near")))
     rows = docs.select("doc_id", row_key().alias("row"), F.coalesce(F.regexp_count("text", F.lit(ALNUM_REGEX)), F.lit(0)).cast("bigint").alias("n_words"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row")), "left")
+    out = rows.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row")), "left")
     none = F.lit(0).cast("bigint")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
@@ -138,5 +139,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, with all their columns, in which no window of the benchmark occurs."""
     exact, _ = find(docs, benchmark, window=window)
-    bad = exact.select(F.col("doc_id").alias("__id"), F.col("row").alias("__gone")).distinct()
-    return docs.withColumn("__row", row_key()).join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__gone")), "left_anti").select(*docs.columns)
+    return without(docs, stored(exact.select("doc_id", "row", F.lit(0).alias("stay")).distinct(), "op9-dropped"))

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from fenestra.llm.decontaminate import contamination, drop_contaminated
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -23,6 +25,8 @@ def fixture():
         docs.append((i, " ".join(parts)))
     hot = items[3][1] + " tail"
     docs += [(200 + i, hot) for i in range(60)]
+    items += [items[2], items[2], (2, items[4][1]), (None, line(14)), (None, "null id too"), (56, "ΟΔΟΣ ΑΣ ΒΣ ΓΣ ΔΣ ΕΣ ΖΣ ΗΣ ΘΣ ΙΣ"), (57, "K İ ſ plus seven more words of this item")]
+    docs += [(310, items[2][1]), (311, "ΟΔΟΣ ΑΣ .ΒΣ. ΓΣ ΔΣ.ΕΣ ΖΣ ΗΣ' ΘΣ ΙΣ"), (312, "οδος ας βς γς δς ες ζς ης θς ις"), (313, "x " + items[-4][1]), (314, "k i s plus seven more words of this item"), (315, "K İ ſ PLUS SEVEN MORE WORDS OF THIS ITEM")]
     docs += [(300, None), (301, ""), (302, "a short item ONLY here; solo"), (303, "-x" * 30), (304, "é è é " * 4), (305, "É È é " * 4), (306, line(30_000) + " " + items[5][1]), (None, items[1][1]), (307, "solo"), (307, "solo"), (307, "other")]
     return docs, items
 
@@ -45,7 +49,7 @@ def brute(docs, items, window=10):
                 if tuple(words[s : s + k]) in wins:
                     hit |= set(range(s, s + k))
                     who.add(item)
-        sha = hashlib.sha256(",".join(sorted(map(str, who))).encode()).hexdigest()
+        sha = hashlib.sha256(",".join(sorted(str(i) for i in who if i is not None)).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(who), sha, bool(hit)))
     return sorted(out, key=str)
 
@@ -57,8 +61,10 @@ def test_against_brute_force(spark):
     got = contamination(d, b).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=str) == brute(docs, items)
     assert sum(r.n_near for r in got) > 0
-    kept = drop_contaminated(d, b)
-    assert kept.columns == d.columns
+    assert {r.doc_id: r.n_hit for r in got}[310] >= 12
+    clash = d.withColumns({c: F.lit(c) for c in ("__row", "__id", "row", "it", "place", "item_id")})
+    kept = drop_contaminated(clash, b.withColumn("doc_id", F.lit(1)))
+    assert kept.dtypes == clash.dtypes
     assert kept.count() == sum(not r[5] for r in brute(docs, items))
 
 
@@ -71,7 +77,7 @@ def test_empty(spark):
 
 
 def brute_near(docs, items, window=10, slop=3):
-    split = lambda t: WORD.findall((t or "").lower())
+    split = lambda t: WORD.findall(lower(t))
     df = Counter(w for _, t in docs for w in split(t))
     out = []
     for doc_id, text in docs:
