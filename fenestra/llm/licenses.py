@@ -1,15 +1,19 @@
 """Short licence notices, exact and fuzzy (operator 6).
 
 A text is reduced to its words, joined by single spaces. A notice that may have k
-edits is cut into k + 1 pieces: after k edits at least one piece is untouched, so
-its exact places lead to all candidates. There the regex library matches the whole
-notice with at most k character edits and reports the span.
+edits is cut into k + 1 pieces: after k edits at least one piece is untouched and at
+most k characters off, so its exact places lead to all words where the notice may
+start. From there the regex library matches the whole notice, up to every word end
+in reach, with at most k character edits, and reports the span.
+
+Of matches that overlap, the one with fewer edits stays, then the first; an exact
+match is never lost.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +26,8 @@ from fenestra.llm.common import ALNUM_TABLE
 #: Notices whose exact places are the base, with their labels (fixed values of the contract).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices that only the method reports.
-MORE = {"gnu general public license": "gpl", "redistribution and use in source and binary forms": "bsd", "mozilla public license": "mpl"}
-#: One edit for every so many characters of a notice.
+MORE = {"gnu general public license": "gpl", "redistribution and use in source and binary forms": "bsd", "mozilla public license": "mpl", "cc by nd": "cc-by-nd", "cc by sa": "cc-by-sa"}
+#: One edit for every so many characters of a notice, and one at least.
 CHARS_PER_EDIT = 10
 
 
@@ -35,7 +39,7 @@ class Notice:
 
     @property
     def edits(self) -> int:
-        return len(self.phrase) // CHARS_PER_EDIT
+        return max(1, len(self.phrase) // CHARS_PER_EDIT)
 
     def pieces(self) -> list[tuple[int, str]]:
         """(offset, piece): edits + 1 pieces that together are the phrase."""
@@ -50,12 +54,10 @@ NOTICES = tuple(Notice(p, x, True) for p, x in BASE.items()) + tuple(Notice(p, x
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
-        self.fuzzy = {n: regex.compile(rf"(?e)(?<!\S)(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.edits}}}(?!\S)") for n in notices}
-        self.seeds: dict[str, list[tuple[Notice, int]]] = {}
-        for n in notices:
-            for at, piece in n.pieces():
-                self.seeds.setdefault(piece, []).append((n, at))
-        self.any_seed = re.compile("|".join(re.escape(s) for s in sorted(self.seeds)))
+        # by number of edits; marks at both ends let edits lie there, too
+        self.fuzzy = {n: [regex.compile(rf"\x01(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={k}}}\x02") for k in range(1, n.edits + 1)] for n in notices}
+        self.exact = {n: re.compile(rf"(?<!\S)(?={re.escape(n.phrase)}(?!\S))") for n in notices}
+        self.any_seed = re.compile("|".join(re.escape(piece) for piece in sorted({piece for n in notices for _, piece in n.pieces()})))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str, bool, int]]]:
         """Number of words, and (first word, words, label, base, edits) of each match by place."""
@@ -65,39 +67,40 @@ class Scanner:
         line = b" ".join(words).decode("utf-8", "replace")
         if not self.any_seed.search(line):
             return len(words), []
-        starts = [0]
-        for w in line.split(" ")[:-1]:
-            starts.append(starts[-1] + len(w) + 1)
-        found = set()
+        starts, ends = [0], []
+        for w in line.split(" "):
+            ends.append(starts[-1] + len(w))
+            starts.append(ends[-1] + 1)
+        starts.pop()
+        taken, near = [], []
         for notice in self.notices:
-            exact = [m.start() for m in re.finditer(rf"(?<!\S)(?={re.escape(notice.phrase)}(?!\S))", line)]
-            size = notice.phrase.count(" ") + 1
-            for at in exact:
-                found.add((bisect_right(starts, at) - 1, size, notice.label, notice.base, 0))
-            if notice.edits:
-                found |= self._near(line, starts, notice, set(exact))
-        return len(words), sorted(found)
-
-    def _near(self, line: str, starts: list[int], notice: Notice, exact: set[int]) -> set[tuple[int, int, str, bool, int]]:
-        """Matches with edits; candidates that overlap are looked at together."""
-        room, size, windows = notice.edits, len(notice.phrase), []
+            size = notice.phrase.count(" ")
+            for m in self.exact[notice].finditer(line):
+                first = bisect_left(starts, m.start())
+                taken.append((first, first + size, notice, 0))
+            near += self._near(line, starts, ends, notice)
+        for edits, first, last, notice in sorted(near, key=lambda x: (*x[:3], x[3].label)):
+            if all(last < a or b < first for a, b, *_ in taken):
+                taken.append((first, last, notice, edits))
+        return len(words), sorted((a, b - a + 1, n.label, n.base and not edits, edits) for a, b, n, edits in taken)
+
+    def _near(self, line: str, starts: list[int], ends: list[int], notice: Notice) -> list[tuple[int, int, int, Notice]]:
+        """(edits, first word, last word, notice): of each first word the best match with edits, if any."""
+        room, size, firsts, found = notice.edits, len(notice.phrase), set(), []
         for at, piece in notice.pieces():
             i = line.find(piece)
             while i >= 0:
-                windows.append((max(0, i - at - room - 1), i - at + size + room + 1))
+                firsts.update(range(bisect_left(starts, i - at - room), bisect_right(starts, i - at + room)))
                 i = line.find(piece, i + 1)
-        merged: list[list[int]] = []
-        for a, b in sorted(windows):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        found = set()
-        for a, b in merged:
-            for m in self.fuzzy[notice].finditer(line, a, min(b, len(line)), overlapped=False):
-                if sum(m.fuzzy_counts) and not any(m.start() <= x < m.end() for x in exact):
-                    first = bisect_right(starts, m.start()) - 1
-                    found.add((first, m.group().count(" ") + 1, notice.label, False, sum(m.fuzzy_counts)))
+        for first in firsts:
+            best = None
+            for last in range(max(first, bisect_left(ends, starts[first] + size - room)), bisect_right(ends, starts[first] + size + room)):
+                part = line[starts[first] : ends[last]]
+                if part != notice.phrase and self.fuzzy[notice][-1].fullmatch(f"\x01{part}\x02"):
+                    edits = next(k for k, p in enumerate(self.fuzzy[notice], 1) if p.fullmatch(f"\x01{part}\x02"))
+                    best = min(best or (edits, first, last), (edits, first, last))
+            if best:
+                found.append((*best, notice))
         return found
 
 
@@ -106,7 +109,7 @@ def scan_licenses(docs: DataFrame, *, notices: tuple[Notice, ...] = NOTICES) ->
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and
     `matches` (word, words, label, edits). A null or empty text has no words, no
-    labels and score 0. An exact match scores 1, one with edits 1 - edits / length of
+    labels and score 0; very long texts are scanned whole. An exact match scores 1, one with edits 1 - edits / length of
     the notice; the best of a document counts. Repeated rows give equal rows.
     """
     sizes = {n.label: len(n.phrase) for n in notices}
