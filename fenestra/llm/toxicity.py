@@ -5,7 +5,7 @@ over its words' features; the document's score is the noisy-or 1 - prod(1 - p),
 so one offending sentence is enough. Only documents carry labels: the likelihood
 of those trains the sentence model, which then also points at the sentences.
 
-Features of a word are the word and its beginnings of 4 and 5 letters, so that
+Features of a word are the word and its beginnings of 3 to 5 letters, so that
 inflected and compounded forms share weight. Only features that separate the
 labels in a bounded training sample are kept; a word without any adds nothing.
 """
@@ -13,6 +13,7 @@ labels in a bounded training sample are kept; a word without any adds nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 #: A sentence ends at a line's end or after . ! ? and white space.
 SENTENCE_END = re.compile(r"\n+|(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W_]+")
-#: Bounds of what training collects.
+#: Bounds of what training collects: rows, sentences of one document that hold a feature, and features.
 MAX_TRAIN_ROWS = 8000
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN_SENTENCES = 500
 MAX_FEATURES = 20_000
 #: Standard deviations that a feature's rate of label 1 must be off the mean.
 MIN_LEAN = 4.5
-#: Of a sentence without evidence: some 25,000 such sentences are needed to reach 0.5.
-BASE_LOGIT = -10.5
+#: Of a sentence whose features weigh nothing: some 2,000 such sentences are needed to reach 0.5.
+BASE_LOGIT = -8.0
 
 
 def held_out() -> Column:
@@ -38,13 +39,13 @@ def held_out() -> Column:
 
 
 def word_features(word: str) -> list[str]:
-    return [word] + [f"{word[:k]}*" for k in (4, 5) if len(word) > k]
+    return [word] + [f"{word[:k]}*" for k in (3, 4, 5) if len(word) > k]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of at most about `rows` labelled rows of either label, chosen by a hash of doc_id.
 
-    Rows with the test remainder, a null label, id or text, or a very long text take no part.
+    Rows with the test remainder, a null label, id or text take no part. Of labels that differ for an id, 1 counts.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = marked.groupBy("toxic").count().toPandas()
@@ -52,8 +53,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     for toxic, n in zip(counts["toxic"], counts["count"], strict=True):
         wanted = F.when(F.col("toxic") == int(toxic), F.lit(min(1.0, rows / 2 / n))).otherwise(wanted)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < wanted * (1 << 30)).limit(2 * rows)
-    short = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    return short.join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
+    with_text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    return with_text.join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = MAX_TRAIN_ROWS, steps
     """Weights by feature. Without both labels in the sample: none, and all scores are near 0.
 
     The sample is the only thing that is collected; its bounds are MAX_TRAIN_ROWS
-    rows of at most MAX_TRAIN_CHARS characters, reduced to at most MAX_FEATURES
-    features by how far each is from the mean rate of label 1 (chi-square).
+    rows, each with at most MAX_TRAIN_SENTENCES of its sentences that hold a feature
+    (however long the text; chosen by a hash), reduced to at most MAX_FEATURES features
+    by how far each is from the mean rate of label 1 (chi-square).
     """
     bags = training_sample(docs, labels, rows).mapInArrow(_bags, "sentences array<array<string>>, toxic boolean").withColumn("row", F.xxhash64("sentences")).cache()
     ones = bags.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("bigint")), F.lit(0)).alias("n1")).first()
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = MAX_TRAIN_ROWS, steps
         of = known.value
         for batch in batches:
             out = [[[of[f] for f in s if f in of] for s in bag] for bag in batch.column(0).to_pylist()]
-            out = [[s for s in bag if s] for bag in out]
+            out = [sorted((s for s in bag if s), key=lambda s: (zlib.crc32(repr(s).encode()), s))[:MAX_TRAIN_SENTENCES] for bag in out]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(1), batch.column(2)], names=["x", "toxic", "row"])
 
     sample = bags.mapInArrow(encode, "x array<array<int>>, toxic boolean, row bigint").toArrow().sort_by("row").to_pydict()
@@ -158,8 +160,10 @@ def score_documents(docs: DataFrame, weights: dict[str, float], *, threshold: fl
     """One row per row of `docs` (doc_id, text): doc_id, score, predicted, and the offending sentences.
 
     `sentences` holds (start, end, score) of sentences with a score of 0.5 or more.
-    A null or empty text, and one without any known feature, has score 0. Columns
-    named in `keep` are passed through. Labels are no input.
+    A null or empty text, and one without any known feature, has score 0; long texts
+    are scored whole. Rows that repeat give equal rows, an empty table none, and a score
+    just at the threshold is predicted 1. Columns named in `keep` are passed through, all
+    others ignored. Labels are no input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

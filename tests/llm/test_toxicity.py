@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -40,6 +42,36 @@ def test_held_out_accuracy_and_spans(spark):
             assert any(b in text[r.doc_id][s.start : s.end].lower() for s in r.sentences for b in BAD)
 
 
+def test_noisy_or_against_brute_force(spark):
+    """Scores and offending sentences, computed afresh from the weights."""
+    docs, labels = fixture(spark, 300)
+    weights = fit(docs, labels)
+    assert weights
+    got = score_documents(docs.where("text IS NOT NULL"), weights, keep=("text",)).collect()
+    assert len(got) > 290
+    for r in got:
+        text = r.text
+        none, offending = 1.0, []
+        for s in re.split(r"\n+|(?<=[.!?])\s+", text):
+            features = {f for w in re.findall(r"[^\W_]+", s.lower()) for f in [w, *(w[:k] + "*" for k in (3, 4, 5) if len(w) > k)]} & set(weights)
+            p = 1 / (1 + math.exp(8.0 - sum(weights[f] for f in features))) if features else 0.0
+            none *= 1 - p
+            offending += [s] if p >= 0.5 else []
+        assert abs(r.score - (1 - none)) < 1e-9 and [text[x.start : x.end] for x in r.sentences] == offending
+
+
+def test_long_labelled_texts_train(spark):
+    """Here every text that tells is long."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 6))) for _ in range(200)]
+    long = lambda bad: ". ".join(" ".join(rng.choices(words, k=9)) for _ in range(500)) + (". du grobian. " if bad else ". ") + "ende. " * 10
+    docs = [(i, long(i % 2)) for i in range(90)] + [(i, "du grobian") for i in range(100, 103)] + [(i, "ruhig ende") for i in range(103, 106)]
+    docs = spark.createDataFrame(docs + docs[-6:], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] * 2, "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity(docs, labels).collect()}
+    assert [got[i] for i in range(100, 106)] == [1, 1, 1, 0, 0, 0]
+
+
 def test_scores_use_no_labels(spark):
     docs, labels = fixture(spark, 300)
     weights = fit(docs, labels)
