@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 ROWS_PER_LANGUAGE = 600
 PASSAGE_CHARS = 400
 DICTIONARY_BYTES = 192 * 1024
-MAX_LANGUAGES = 400
 #: Bytes of text that are compressed at once.
 BLOCK_BYTES = 2048
 LEVEL = 3
@@ -48,13 +47,13 @@ def fit(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE) -> dict[str, bytes]:
 
     About `rows` rows a language are chosen by a hash of doc_id, and a passage of
     each, from a place that the hash chooses too, goes into the dictionary. Rows
-    whose id, text or lang is null take no part. What reaches the driver is bounded
-    by MAX_LANGUAGES * 2 * rows * PASSAGE_CHARS characters.
+    whose id, text or lang is null take no part. What reaches the driver is about
+    1.5 * rows * PASSAGE_CHARS characters for each language, of which there are few.
     """
     usable = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = usable.groupBy("lang").count()
     pick = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30))
-    chosen = usable.withColumn("pick", pick).join(F.broadcast(counts), "lang").where(F.col("pick") < F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("count")) * (1 << 30))
+    chosen = usable.withColumn("pick", pick).join(counts, "lang").where(F.col("pick") < F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("count")) * (1 << 30))
     at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - PASSAGE_CHARS + 1)).cast("int") + 1
     passages = chosen.select("lang", "pick", "doc_id", F.substring("text", at, F.lit(PASSAGE_CHARS)).alias("passage"))
     best: dict[str, list[str]] = {}
@@ -91,7 +90,8 @@ def identify(docs: DataFrame, *, dictionaries: dict[str, bytes] | None = None, m
 
     lang_pred is a learned language, or `und` where the text is null or has no
     letter, or nothing could be learned. Of equal sizes, the language first in
-    order wins. Every text is compressed whole. lang is read by fit() only.
+    order wins. Every text is compressed whole, however long. lang is read by fit()
+    only, other columns are ignored. Rows that repeat give equal rows, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if dictionaries is None else dictionaries)
 

@@ -30,9 +30,8 @@ CLASSES = len(ALPHABET) + 1
 #: A token is random if its ratio exceeds this in all and by character.
 MIN_RATIO = 12.0
 MIN_RATIO_PER_CHAR = 0.6
-#: Bounds of the labelled sample: documents, and characters of each that are read for words.
+#: Bound of the labelled sample: documents, about.
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 4000
 SYNTHETIC = 1500
 #: Weight, in transitions, of single characters in a context's chances.
 BACKOFF = 8.0
@@ -70,7 +69,7 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
     """(value, random): of about `rows` documents, chosen by a hash of the text, and of synthetic digests."""
     total = docs.count()
     part = min(1.0, rows / max(1, total))
-    some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30)).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30)).select("text")
     ruled = [F.regexp_extract_all("text", F.lit(p), F.lit(g)) for _, p, g, _ in RULES]
     hits = some.select(F.explode(F.concat(*ruled)).alias("value")).where("length(value) >= 16").distinct().select("value", F.lit(True).alias("random"))
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_-]{4,}"), F.lit(0))).alias("value")).where(f"NOT value RLIKE '[0-9]' OR length(value) < 12").distinct().select("value", F.lit(False).alias("random"))
@@ -138,7 +137,8 @@ def scan_secrets(docs: DataFrame, *, table: list[float] | None = None) -> DataFr
     kind:start:end in code points, end exclusive, by start and then by kind in the
     order assign, access, hex, markov. A token that the models find is added only
     where it touches no span of the rules. A null text counts as empty: no spans,
-    and the digest of the empty string.
+    and the digest of the empty string. Long texts are scanned whole; rows that repeat
+    give equal rows, an empty table none; other columns are ignored.
     """
     table = fit(docs) if table is None else table
     text = F.coalesce("text", F.lit(""))

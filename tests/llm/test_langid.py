@@ -1,4 +1,8 @@
 import random
+import re
+
+import zstandard
+from pyspark.sql import functions as F
 
 from fenestra.llm.langid import identify
 
@@ -29,9 +33,21 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got) and not by_id[600].reliable
 
 
+def test_sizes_against_brute_force(spark):
+    """Sizes computed afresh, of equal sizes the first language wins; rows that repeat are equal."""
+    dictionaries = {"aa": b"tion ment eau oire " * 20, "bb": b"schaft keit ung heit " * 20, "bc": b"schaft keit ung heit " * 20}
+    docs = fixture(spark, 120).union(fixture(spark, 120).limit(5)).select("doc_id", "text")
+    for r in docs.join(identify(docs, dictionaries=dictionaries).withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d")).where("doc_id < 120").collect():
+        words = b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", r.text.encode().lower()).split())
+        sizes = {}
+        for lang, raw in dictionaries.items():
+            coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(words[i : i + 2048])) for i in range(0, len(words), 2048))
+        (best, lang), (second, _) = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert r.lang_pred == lang and lang != "bc" and abs(r.margin - (1 - best / second)) < 1e-9
+
+
 def test_nothing_to_learn_from(spark):
     docs = fixture(spark, 30)
-    from pyspark.sql import functions as F
-
     assert {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert identify(docs.where("false")).count() == 0
