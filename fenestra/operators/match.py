@@ -27,6 +27,26 @@ def blocked_join(left: DataFrame, right: DataFrame, block: list[str], score: Col
     return pairs if least is None else pairs.where(F.col("score") >= least)
 
 
+def shared_tokens(left: DataFrame, right: DataFrame, block: list[str], left_keys: list[str], right_keys: list[str], *, tokens: tuple[str, str]) -> DataFrame:
+    """Pairs of a block that share a token, once, with the number of tokens that they `shared`.
+
+    An inverted index: both sides become a row a token, joined on block and token, so
+    that pairs without a common token are never made. Token arrays have distinct elements.
+    """
+    a = left.select(*block, *left_keys, F.explode(tokens[0]).alias("__token"))
+    b = right.select(*block, *right_keys, F.explode(tokens[1]).alias("__token"))
+    return a.join(b, [*block, "__token"]).groupBy(*block, *left_keys, *right_keys).agg(F.count("*").alias("shared"))
+
+
+def numbered(rows: DataFrame, block: str, order: list[str], name: str) -> DataFrame:
+    """1 to n along `block`, then `order`: each block is numbered by itself, from an offset that only the blocks' sizes, a row a block, are ordered for."""
+    sizes = rows.groupBy(block).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col(block).alias("__block"), F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(block).orderBy(*order)))
+    return placed.join(offsets, F.col(block).eqNullSafe(F.col("__block"))).withColumn(name, (F.col("__before") + F.col("__place")).cast("bigint")).drop("__block", "__before", "__place")
+
+
 def ordered_layers(layers: list[DataFrame], key: list[str], order: list[str]) -> DataFrame:
     """The union of layers with the same columns; of each key the row of the first layer that has it, then by `order`."""
     union = reduce(DataFrame.unionByName, (d.withColumn("layer", F.lit(i)) for i, d in enumerate(layers)))

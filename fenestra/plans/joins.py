@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenestra.functions import semantics, similarity
@@ -19,10 +19,10 @@ products AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(lower
 
 
 def families(parts: DataFrame) -> DataFrame:
-    """Groups of a catalogue by brand, name and type, with their range of sizes and their tokens."""
-    grouped = parts.groupBy("p_brand", "p_name", "p_type").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    """Groups of a catalogue by brand, name and type: their number, range of sizes, members and tokens."""
+    grouped = parts.groupBy("p_brand", "p_name", "p_type").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.count("*").alias("members"))
     tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))
-    return grouped.withColumn("f_tokens", tokens)
+    return match.numbered(grouped, "p_brand", ["p_name", "p_type"], "family").select("p_brand", "family", "lo", "hi", "members", tokens.alias("f_tokens"), F.size(tokens).alias("f_n"))
 
 
 def product_tokens():
@@ -31,6 +31,13 @@ def product_tokens():
     return F.array_distinct(F.split(F.lower(text), " "))
 
 
+def _near_families(products: DataFrame, groups: DataFrame) -> DataFrame:
+    """p_brand, p_tokens, family, lo, hi, members, jaccard: distinct texts and the families of their brand with a common token."""
+    texts = products.select("p_brand", "p_tokens").distinct()
+    met = match.shared_tokens(texts, groups, ["p_brand"], ["p_tokens"], ["family", "lo", "hi", "members", "f_n"], tokens=("p_tokens", "f_tokens"))
+    return met.withColumn("jaccard", F.col("shared") / (F.size("p_tokens") + F.col("f_n") - F.col("shared"))).drop("shared", "f_n")
+
+
 @BOOK.query(f"""
 WITH {FAMILY_SQL},
 s AS (SELECT p_partkey, f.p_brand, f.family, CASE WHEN p_size BETWEEN lo AND hi THEN 1 ELSE 0 END AS inside,
@@ -42,23 +49,35 @@ SELECT p_partkey, family, round(score, 6) AS score, round(score - second, 6) AS
 def blocked_fuzzy_join_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products against families of their brand: best and second best by Jaccard, range and shared tokens.
 
-    Jaccard depends on the distinct texts of a brand only, so these are scored once
-    and products join the scores; per product only the range is left to add.
+    Scores depend on brand, text and size only, so distinct ones are scored and products
+    join the result. Families come from an inverted index of tokens. The range moves a
+    score by 0.3 at most, so a family that far behind the second best of a text is in no
+    pair of best. Without a common token a family reaches 0.2: only where the second
+    best is no better are the other families of the brand looked at.
     """
     parts = table(spark, sf_dir, "part")
-    # numbering needs one order over all families, which are few beside products
-    numbered = families(parts).withColumn("family", F.row_number().over(Window.orderBy("p_brand", "p_name", "p_type"))).select("p_brand", "family", "lo", "hi", "f_tokens")
+    groups = families(parts)
     products = parts.select("p_partkey", "p_brand", "p_size", product_tokens().alias("p_tokens"))
-    keys = products.select("p_brand", "p_tokens").distinct()
-    shared = F.size(F.array_intersect("p_tokens", "f_tokens"))
-    texts = match.blocked_join(keys, numbered, ["p_brand"], similarity.jaccard(F.col("p_tokens"), F.col("f_tokens")) + F.when(shared > 0, 0.05).otherwise(0.0))
-    texts = texts.select("p_brand", "p_tokens", "family", "lo", "hi", F.col("score").alias("text_score"))
+    asked = products.select("p_brand", "p_tokens", "p_size").distinct()
     inside = semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size"))
-    pairs = products.join(texts, ["p_brand", "p_tokens"]).select("p_partkey", "family", inside.alias("inside"), F.round(F.least(F.lit(1.0), F.col("text_score") + F.when(inside, 0.2).otherwise(-0.1)), 9).alias("score"))
-    best = match.best_with_gap(pairs, ["p_partkey"], "score", ["family"])
-    sure = (F.col("score") >= 0.8) & F.col("inside") & (F.col("score") - F.coalesce("second_score", F.lit(-1.0)) > 0.15)
-    kind = F.when(sure, F.lit("high")).when((F.col("score") >= 0.5) & F.col("inside"), F.lit("medium")).otherwise(F.lit("low"))
-    return best.select("p_partkey", F.col("family").cast("bigint").alias("family"), F.round("score", 6).alias("score"), F.round("score_gap", 6).alias("score_gap"), kind.alias("class"))
+    key, away, near = ["p_brand", "p_tokens", "p_size"], 0.3, 0.2
+
+    def ranked(pairs: DataFrame, text_score: Column) -> DataFrame:
+        score = F.round(F.least(F.lit(1.0), text_score + F.when(inside, near).otherwise(near - away)), 9)
+        return match.best_with_gap(pairs.select(*key, "family", inside.alias("inside"), score.alias("score")), key, "score", ["family"])
+
+    texts = _near_families(products, groups).withColumn("text_score", F.col("jaccard") + 0.05)
+    by_score = Window.partitionBy("p_brand", "p_tokens").orderBy(F.desc("text_score"))
+    second = F.max(F.when(F.col("n") == 2, F.col("text_score"))).over(Window.partitionBy("p_brand", "p_tokens"))
+    texts = texts.withColumn("n", F.row_number().over(by_score)).withColumn("second", second).where(f"text_score >= coalesce(second, 0) - {away + 1e-6}")
+    first = ranked(asked.join(texts, ["p_brand", "p_tokens"]), F.col("text_score"))
+    sure = first.where(F.col("second_score") > near + 1e-6)
+    rest = match.blocked_join(asked.join(sure.select(*key), key, "left_anti"), groups, ["p_brand"], similarity.jaccard(F.col("p_tokens"), F.col("f_tokens")))
+    shared = F.when(F.col("score") > 0, F.col("score") + 0.05).otherwise(0.0)
+    best = products.join(sure.unionByName(ranked(rest, shared)), key)
+    certain = (F.col("score") >= 0.8) & F.col("inside") & (F.col("score") - F.coalesce("second_score", F.lit(-1.0)) > 0.15)
+    kind = F.when(certain, F.lit("high")).when((F.col("score") >= 0.5) & F.col("inside"), F.lit("medium")).otherwise(F.lit("low"))
+    return best.select("p_partkey", "family", F.round("score", 6).alias("score"), F.round("score_gap", 6).alias("score_gap"), kind.alias("class"))
 
 
 @BOOK.query("""
@@ -264,12 +283,11 @@ SELECT p_partkey, r.family, round(score, 6) AS score, members FROM r JOIN m USIN
 def family_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The family whose range holds a product and whose tokens are nearest, with its number of members."""
     parts = table(spark, sf_dir, "part")
-    grouped = parts.groupBy("p_brand", "p_name", "p_type").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.count("*").alias("members"))
-    numbered = grouped.select("p_brand", "lo", "hi", "members", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("f_tokens"), F.row_number().over(Window.orderBy("p_brand", "p_name", "p_type")).cast("bigint").alias("family"))
     products = parts.select("p_partkey", "p_brand", "p_size", product_tokens().alias("p_tokens"))
-    score = F.round(similarity.jaccard(F.col("p_tokens"), F.col("f_tokens")), 9)
-    pairs = match.blocked_join(products, numbered, ["p_brand"], score, least=0.3, residual=semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size")))
-    return match.best_with_gap(pairs, ["p_partkey"], "score", ["family"]).select("p_partkey", "family", F.round("score", 6).alias("score"), "members")
+    texts = _near_families(products, families(parts)).withColumn("score", F.round("jaccard", 9)).where("score >= 0.3")
+    pairs = products.join(texts, ["p_brand", "p_tokens"]).where(semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size")))
+    best = pairs.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("less"), "family", "members")).alias("m"))
+    return best.select("p_partkey", "m.family", F.round(-F.col("m.less"), 6).alias("score"), "m.members")
 
 
 def _nearest_seeds(seeds: DataFrame, asked: DataFrame, block: list[str]) -> DataFrame:
@@ -392,9 +410,15 @@ def title_map_after_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     direct = parts.where("p_partkey % 4 <> 0")
     titles = direct.groupBy("p_brand", F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("code"))
     rest = parts.join(direct.select("p_partkey"), "p_partkey", "left_anti")
-    score = F.round(F.size(F.array_intersect(F.split("p_name", " "), F.split("title", " "))) * 0.7 / 2 + 0.3, 9)
-    best = match.best_with_gap(match.blocked_join(rest, titles, ["p_brand"], score), ["p_partkey"], "score", ["code"])
-    return best.select("p_partkey", "code", F.round("score", 6).alias("score"))
+    # distinct titles, met by common tokens; without any, the first code of the brand
+    words = lambda d, name: d.select("p_brand", name, F.array_distinct(F.split(name, " ")).alias(f"{name}_words"))
+    asked, known = words(rest, "p_name").distinct(), words(titles, "title").join(titles, ["p_brand", "title"])
+    met = match.shared_tokens(asked, known, ["p_brand"], ["p_name"], ["code"], tokens=("p_name_words", "title_words"))
+    best = met.groupBy("p_brand", "p_name").agg(F.min(F.struct((-F.col("shared")).alias("less"), "code")).alias("m"))
+    least = titles.groupBy("p_brand").agg(F.min("code").alias("least"))
+    out = rest.select("p_partkey", "p_brand", "p_name").join(least, "p_brand").join(best, ["p_brand", "p_name"], "left")
+    score = F.round(F.coalesce(-F.col("m.less"), F.lit(0)) * 0.7 / 2 + 0.3, 6)
+    return out.select("p_partkey", F.coalesce("m.code", "least").alias("code"), score.alias("score"))
 
 
 @BOOK.query("""
