@@ -9,6 +9,33 @@ from pyspark.sql import functions as F
 from fenestra.functions.semantics import ladder
 from fenestra.functions.text import tokens
 
+# What tells the models of a make apart.
+#: Makes, names of one family, and the pattern of its generation.
+GENERATION_OF = [(["volkswagen", "vw"], ["transporter", "multivan", "caravelle", "california"], r"\b(t[456])\b")]
+#: Makes and a pattern of a series; what its groups hold must be the same.
+SERIES = [
+    (["volvo"], r"^(xc|s|v|c)\s?(\d+)$"),
+    (["jaguar"], r"^([a-z])\s*-?\s*pace$"),
+    (["mazda"], r"^(cx|mx)\s*-?\s*(\d+)$"),
+    (["bmw"], r"^(x|m|z)\s*(\d+)$"),
+    (["bmw"], r"^(\d+)\s*-?\s*serie$"),
+    (["audi"], r"^(a|q|tt)\s*(\d+)$"),
+    (["mercedes", "mercedes-benz", "mercedes benz"], r"^([a-e])\s*-?\s*klasse$"),
+]
+#: Classes of Mercedes and their chassis codes; the first class that a name holds counts.
+CLASS_CODES = {
+    "a-klasse": ["w168", "w169", "w176", "w177"], "a-class": ["w168", "w169", "w176", "w177"], "b-klasse": ["w245", "w246", "w247"], "b-class": ["w245", "w246", "w247"],
+    "c-klasse": ["w203", "w204", "w205", "w206"], "c-class": ["w203", "w204", "w205", "w206"], "e-klasse": ["w210", "w211", "w212", "w213", "w214"], "e-class": ["w210", "w211", "w212", "w213", "w214"],
+    "s-klasse": ["w220", "w221", "w222", "w223"], "s-class": ["w220", "w221", "w222", "w223"], "m-klasse": ["w163", "w164", "w166"], "m-class": ["w163", "w164", "w166"],
+    "gle-klasse": ["w166", "w167"], "gle-class": ["w166", "w167"], "gle": ["w166", "w167"], "glc": ["x253", "c253", "x254", "c254"], "glb": ["x247"], "gla": ["x156", "h247"], "cla": ["c117", "c118"],
+    "slk": ["r170", "r171", "r172", "w170"], "sl": ["r129", "r230", "r231", "w230"], "clk": ["c208", "c209", "w208", "w209"], "cls": ["c218", "c219", "c257", "w219"], "g-klasse": ["w463", "w464"], "g-class": ["w463", "w464"],
+}
+#: Words of body styles, series and panes, which many models share.
+GENERAL_WORDS = [
+    "serie", "series", "klasse", "class", "pace", "cross", "sport", "sports", "sportback", "coupe", "cabriolet", "convertible", "roadster", "sedan", "saloon", "hatchback", "wagon", "estate", "touring", "mpv", "suv", "van", "pickup",
+    "backlite", "frontrute", "bakrute", "dorrute", "siderute", "dørrute",
+]
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays; 0 if both are empty."""
@@ -65,21 +92,64 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.when(F.contains(x, y) | F.contains(y, x), F.lit(1.0)).otherwise(overlap_of_larger(tokens(x), tokens(y)) * 0.6 + jaro_winkler(x, y) * 0.4)
 
 
-def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
-    """Whether two model names mean the same model of a make.
+def _first_in(m: Column, names: list[str]) -> Column:
+    """The first of `names` that a string holds."""
+    return ladder([(F.contains(m, F.lit(x)), x) for x in names], None)
+
+
+def _codes(m: Column) -> Column:
+    """Chassis codes of a model name, without a letter behind."""
+    return F.regexp_extract_all(m, F.lit(r"\b([wxcr]\d{3})[a-z]?\b"), F.lit(1))
 
-    The make in front goes. Names are the same if they differ in separators only,
-    or if all tokens of one are in the other and one of these is telling: it has four letters
-    or a digit. So a digit more or less, or another letter before a hyphen, is another model.
+
+def _held_safely(a: Column, b: Column) -> Column:
+    """Whether one of two names holds the other, and not as a number that goes on: A3 is not in A30."""
+    small, large = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    behind = F.substr(large, F.instr(large, small) + F.length(small), F.lit(1))
+    return F.contains(large, small) & ~(small.rlike(r"\d$") & behind.rlike(r"^\d"))
+
+
+def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
+    """Whether two model names mean the same model of a make; false where either is null or empty.
+
+    The make in front goes. Rules are tried in order, and the first that can tell
+    decides: one name holds the other; the names share a family and differ in
+    generation (`GENERATION_OF`); both are of one series of the make (`SERIES`), by what tells
+    its members apart; class and chassis code (`CLASS_CODES`). The rest is decided by
+    what is left without separators, and then by common words, of which general
+    ones (`GENERAL_WORDS`) don't tell.
     """
-    bare = lambda m: F.trim(F.when(F.startswith(F.lower(F.trim(m)), F.concat(F.lower(F.trim(make)), F.lit(" "))), F.substr(F.trim(m), F.length(F.trim(make)) + 1)).otherwise(m))
-    parts = lambda m: F.filter(F.split(F.lower(bare(m)), "[^a-z0-9]+"), lambda t: t != "")
-    a, b = parts(vehicle), parts(record)
-    joined = F.array_join(a, "") == F.array_join(b, "")
-    small, large = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    telling = F.exists(small, lambda t: t.rlike(r"[a-z]{4}|\d"))
-    held = (F.size(small) > 0) & (F.size(F.array_except(small, large)) == 0) & telling
-    return F.coalesce(joined & (F.size(a) > 0) | held, F.lit(False))
+    who = F.lower(F.trim(make))
+    bare = lambda m: F.when(F.startswith(m, F.concat(who, F.lit(" "))), F.trim(F.substr(m, F.length(who) + 1))).otherwise(m)
+    a, b = bare(F.lower(F.trim(vehicle))), bare(F.lower(F.trim(record)))
+    rules: list[tuple[Column, Column]] = [(F.coalesce(F.length(a) * F.length(b), F.lit(0)) == 0, F.lit(False)), (_held_safely(a, b), F.lit(True))]
+    for makes, names, generation in GENERATION_OF:
+        known = who.isin(makes) & a.rlike("|".join(names)) & b.rlike("|".join(names))
+        x, y = (F.regexp_extract(m, generation, 1) for m in (a, b))
+        rules.append((known, (x == "") | (y == "") | (x == y)))
+    for makes, pattern in SERIES:
+        key = lambda m, p=pattern: F.concat_ws(" ", *(F.regexp_extract(m, p, i + 1) for i in range(p.count("(") - p.count("(?"))))
+        rules.append((who.isin(makes) & a.rlike(pattern) & b.rlike(pattern), key(a) == key(b)))
+    # 740_760-80 stands for 740, 760 and 780
+    rules.append(((who == "volvo") & a.rlike(r"^\d{3}$") & F.contains(b, F.substring(a, 2, 2)) & F.contains(b, F.substring(a, 1, 1)), F.lit(True)))
+    classes = list(CLASS_CODES)
+    x, y = _first_in(a, classes), _first_in(b, classes)
+    allowed = F.create_map(*(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for kv in CLASS_CODES.items() for v in kv))
+    fits = lambda c, codes: F.coalesce(F.arrays_overlap(F.try_element_at(allowed, c), codes), F.lit(False))
+    off_road = lambda m: m.rlike("g-klasse|gelandewagen")
+    rules.append((F.contains(who, F.lit("mercedes")) & (F.coalesce(x == y, F.lit(False)) | (off_road(a) & off_road(b)) | fits(x, _codes(b)) | fits(y, _codes(a))), F.lit(True)))
+    plain_a, plain_b = F.regexp_replace(a, "[^a-z0-9]", ""), F.regexp_replace(b, "[^a-z0-9]", "")
+    short, long = F.least(F.length(plain_a), F.length(plain_b)), F.greatest(F.length(plain_a), F.length(plain_b))
+    held = (short >= 3) & (F.contains(plain_a, plain_b) | F.contains(plain_b, plain_a)) & ((short >= 4) | (short >= long * 0.8))
+    rules.append((held, F.lit(True)))
+    words = lambda m: F.filter(F.split(m, "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+    common = F.filter(words(b), lambda t: F.array_contains(words(a), t))
+    only = F.coalesce(F.get(common, 0), F.lit(""))
+    alone = lambda m: F.regexp_replace(F.replace(m, only, F.lit("")), "[^a-z0-9]", "") == ""
+    telling = (F.length(only) >= 4) & (~only.isin(GENERAL_WORDS) | alone(a) | alone(b)) | (F.length(only) == 3) & (F.size(words(b)) == 1)
+    rules.append((F.size(common) >= 2, F.lit(True)))
+    rules.append((F.size(common) == 1, telling))
+    return ladder(rules, False)
 
 
 def level(score: Column, steps: list[tuple[float, str]], default: str) -> Column:

@@ -95,7 +95,11 @@ def compact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.compact_upper(raw).alias("compact"), text.first_code(code, CODES).alias("color"))
 
 
-@BOOK.query()
+@BOOK.query("""
+WITH c AS (SELECT p_partkey, upper(CASE p_size % 3 WHEN 0 THEN 'xgyelbl' ELSE 'gnel' END || right(p_brand, 1)) AS code FROM part),
+a AS (SELECT *, CASE WHEN contains(code, 'GYEL') THEN 'green heated' END AS f1, replace(code, 'GYEL', '#') AS r1 FROM c), b AS (SELECT *, CASE WHEN contains(r1, 'GN') THEN 'green' END AS f2, replace(r1, 'GN', '#') AS r2 FROM a),
+d AS (SELECT *, CASE WHEN contains(r2, 'BL') THEN 'blue' END AS f3, replace(r2, 'BL', '#') AS r3 FROM b), e AS (SELECT *, CASE WHEN contains(r3, 'EL') THEN 'heated' END AS f4 FROM d)
+SELECT p_partkey, concat_ws(', ', f1, f2, f3, f4) AS decoded FROM e""")
 def decode_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All codes of a string, longest first, none overlapping another."""
     code = F.concat(F.when(F.col("p_size") % 3 == 0, F.lit("xgyelbl")).otherwise(F.lit("gnel")), F.substring("p_brand", -1, 1))
@@ -184,12 +188,53 @@ def jaro_winkler_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score >= 0.4").orderBy(F.desc("score"), "p_name").limit(50)
 
 
-@BOOK.query()
+#: Spellings of models by make, which parts are dealt out over.
+MODELS = [
+    ("volkswagen", "Transporter T5"), ("volkswagen", "Multivan T6"), ("volkswagen", "Caravelle"), ("volkswagen", "Golf Variant"), ("volvo", "XC60"), ("volvo", "XC 60"), ("volvo", "V 90"), ("volvo", "740_760-80 serie"), ("volvo", "780"),
+    ("jaguar", "Jaguar I-Pace"), ("jaguar", "E-PACE"), ("mazda", "CX-5"), ("mazda", "CX 50"), ("mazda", "cx5"), ("bmw", "BMW X3"), ("bmw", "X30"), ("bmw", "3-serie"), ("bmw", "5 serie"), ("bmw", "3 serie touring"), ("audi", "A3"), ("audi", "A 3"), ("audi", "A30"), ("audi", "Q3 Sportback"),
+    ("mercedes", "C-Klasse"), ("mercedes", "serie W204"), ("mercedes", "serie W211 w213b"), ("mercedes", "E-class"), ("mercedes", "Gelandewagen"), ("mercedes", "G-Klasse"), ("mercedes", "GLC"), ("mercedes", "x253"), ("mini", "Countryman"), ("mini", "Mini Countryman Cross"), ("mini", "Cooper S Cross"), ("mini", ""),
+]
+_PER_PART = f"""
+names AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {", ".join(f"('{m}', '{n}')" for m, n in MODELS)}) AS t(make, name)),
+dealt AS (SELECT p_partkey, p_brand, make, name FROM part JOIN names ON p_partkey % {len(MODELS)} = i)"""
+_SERIES_SQL = " ".join(
+    f"WHEN make IN ({', '.join(map(repr, makes))}) AND regexp_matches(a, '{p}') AND regexp_matches(b, '{p}') THEN " + " AND ".join(f"regexp_extract(a, '{p}', {i + 1}) = regexp_extract(b, '{p}', {i + 1})" for i in range(p.count("(")))
+    for makes, p in similarity.SERIES
+)
+_CLASS_SQL = lambda m: "CASE " + " ".join(f"WHEN contains({m}, '{c}') THEN '{c}'" for c in similarity.CLASS_CODES) + " END"
+_ALLOWED_SQL = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in similarity.CLASS_CODES.items()) + " ELSE [] END"
+
+
+@BOOK.query(rf"""
+WITH {_PER_PART},
+pairs AS (SELECT DISTINCT x.make, x.name AS vehicle, y.name AS record FROM dealt x JOIN dealt y ON x.p_brand = y.p_brand AND x.make = y.make AND x.name <> y.name),
+bare AS (SELECT *, trim(CASE WHEN starts_with(lower(vehicle), make || ' ') THEN substr(lower(vehicle), length(make) + 1) ELSE lower(vehicle) END) AS a, trim(CASE WHEN starts_with(lower(record), make || ' ') THEN substr(lower(record), length(make) + 1) ELSE lower(record) END) AS b FROM pairs),
+sized AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l, regexp_replace(a, '[^a-z0-9]', '', 'g') AS pa, regexp_replace(b, '[^a-z0-9]', '', 'g') AS pb,
+  list_filter(regexp_split_to_array(a, '[^a-z0-9]+'), lambda t: length(t) >= 2) AS wa, list_filter(regexp_split_to_array(b, '[^a-z0-9]+'), lambda t: length(t) >= 2) AS wb, {_CLASS_SQL('a')} AS ca, {_CLASS_SQL('b')} AS cb,
+  regexp_extract_all(a, '\b([wxcr]\d{{3}})[a-z]?\b', 1) AS oa, regexp_extract_all(b, '\b([wxcr]\d{{3}})[a-z]?\b', 1) AS ob FROM bare),
+shared AS (SELECT *, list_filter(wb, lambda t: list_contains(wa, t)) AS common FROM sized),
+told AS (SELECT make, vehicle, record, CASE WHEN a = '' OR b = '' THEN false
+  WHEN contains(l, s) AND NOT (regexp_matches(s, '\d$') AND regexp_matches(substr(l, instr(l, s) + length(s), 1), '^\d')) THEN true
+  WHEN make IN ('volkswagen', 'vw') AND regexp_matches(a, 'transporter|multivan|caravelle|california') AND regexp_matches(b, 'transporter|multivan|caravelle|california')
+    THEN regexp_extract(a, '\b(t[456])\b', 1) = '' OR regexp_extract(b, '\b(t[456])\b', 1) = '' OR regexp_extract(a, '\b(t[456])\b', 1) = regexp_extract(b, '\b(t[456])\b', 1)
+  {_SERIES_SQL}
+  WHEN make = 'volvo' AND regexp_matches(a, '^\d{{3}}$') AND contains(b, substr(a, 2, 2)) AND contains(b, substr(a, 1, 1)) THEN true
+  WHEN contains(make, 'mercedes') AND (coalesce(ca = cb, false) OR (regexp_matches(a, 'g-klasse|gelandewagen') AND regexp_matches(b, 'g-klasse|gelandewagen')) OR list_has_any({_ALLOWED_SQL('ca')}, ob) OR list_has_any({_ALLOWED_SQL('cb')}, oa)) THEN true
+  WHEN least(length(pa), length(pb)) >= 3 AND (contains(pa, pb) OR contains(pb, pa)) AND (least(length(pa), length(pb)) >= 4 OR least(length(pa), length(pb)) >= 0.8 * greatest(length(pa), length(pb))) THEN true
+  WHEN len(common) >= 2 THEN true
+  WHEN len(common) = 1 THEN (length(common[1]) >= 4 AND (common[1] NOT IN ({', '.join(map(repr, similarity.GENERAL_WORDS))}) OR regexp_replace(replace(a, common[1], ''), '[^a-z0-9]', '', 'g') = '' OR regexp_replace(replace(b, common[1], ''), '[^a-z0-9]', '', 'g') = ''))
+    OR (length(common[1]) = 3 AND len(wb) = 1)
+  ELSE false END AS same FROM shared)
+SELECT make, vehicle, record, same FROM told""")
 def model_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names of a brand that mean the same model."""
-    names = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
-    pairs = names.join(names.select("p_brand", F.col("p_name").alias("other")), "p_brand").where("p_name < other")
-    return pairs.where(similarity.model_equivalent(F.col("p_name"), F.col("other"), F.col("p_brand")))
+    """Of the spellings of one make that parts of a brand have, whether they mean the same model.
+
+    Pairs are made of distinct spellings of a brand and make, not of its parts.
+    """
+    names = F.array(*(F.struct(F.lit(m).alias("make"), F.lit(n).alias("name")) for m, n in MODELS))
+    dealt = table(spark, sf_dir, "part").select("p_brand", F.element_at(names, (F.col("p_partkey") % len(MODELS) + 1).cast("int")).alias("m")).select("p_brand", "m.make", F.col("m.name").alias("vehicle")).distinct()
+    pairs = dealt.join(dealt.withColumnRenamed("vehicle", "record"), ["p_brand", "make"]).where("vehicle <> record").select("make", "vehicle", "record").distinct()
+    return pairs.withColumn("same", similarity.model_equivalent(F.col("vehicle"), F.col("record"), F.col("make")))
 
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
