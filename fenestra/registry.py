@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fenestra.plans import aggregates, facets, joins, scalars, state
+from fenestra.plans import aggregates, facets, joins, resolvers, scalars, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (facets, scalars, joins, aggregates, state):
+for _module in (facets, scalars, joins, resolvers, aggregates, state):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
