@@ -146,9 +146,13 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("""
 SELECT p_brand, count(*) FILTER (WHERE p_size % 4 = 0) AS without, count(*) FILTER (WHERE p_size % 4 <> 0) AS with_key, coalesce(list_aggregate(list_sort(list(p_partkey) FILTER (WHERE p_size % 4 = 0))[1:10], 'string_agg', ','), '') AS sample FROM part GROUP BY p_brand HAVING without > 0 ORDER BY without DESC, p_brand""")
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.col("p_size") % 4 == 0
-    out = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(gap).alias("without"), F.count_if(~gap).alias("with_key"), F.sort_array(F.collect_list(F.when(gap, F.col("p_partkey")))).alias("keys"))
-    return out.where("without > 0").select("p_brand", "without", "with_key", F.array_join(F.slice("keys", 1, 10), ",").alias("sample")).orderBy(F.desc("without"), "p_brand")
+    """Counts of a brand with and without a key, and the ten smallest parts without: ranked before they become a list."""
+    gap, parts = F.col("p_size") % 4 == 0, table(spark, sf_dir, "part")
+    counts = parts.groupBy("p_brand").agg(F.count_if(gap).alias("without"), F.count_if(~gap).alias("with_key")).where("without > 0")
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    least = parts.where(gap).select("p_brand", "p_partkey", rank.alias("rank")).where("rank <= 10")
+    samples = least.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("p_partkey")), ",").alias("sample"))
+    return counts.join(samples, "p_brand").select("p_brand", "without", "with_key", "sample").orderBy(F.desc("without"), "p_brand")
 
 
 @BOOK.query("""

@@ -58,8 +58,8 @@ SELECT p_partkey, p_name, (SELECT count(*) FROM p) > 20 AS has_more FROM p ORDER
 def paged_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of 20 rows after 40, read with one row more to know whether there are others."""
     page = table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey").offset(40).limit(21)
-    more = page.agg((F.count("*") > 20).alias("has_more"))
-    return page.join(F.broadcast(more)).orderBy("p_partkey").limit(20)
+    more = page.agg((F.count("*") > 20).alias("has_more")).scalar()
+    return page.withColumn("has_more", more).orderBy("p_partkey").limit(20)
 
 
 @BOOK.query(f"SELECT p_partkey, p_size FROM (SELECT *, {LOW} AS lo, {HIGH} AS hi FROM part) WHERE (lo IS NULL OR lo <= 25) AND (hi IS NULL OR hi >= 25)")
@@ -75,7 +75,7 @@ def alias_expanded_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame(list(ALIASES.items()), "alias string, canonical string")
     wanted = asked.select(F.upper("alias").alias("alias")).join(names, "alias").select(F.col("canonical").alias("n_name")).distinct()
     nations = table(spark, sf_dir, "nation").join(F.broadcast(wanted.withColumnRenamed("n_name", "w")), F.upper("n_name") == F.col("w"), "left_semi")
-    return table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
 
 
 @BOOK.query("""
@@ -165,8 +165,8 @@ FROM events WHERE ts + INTERVAL 10 DAY > (SELECT max(ts) FROM events)""")
 def conditional_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have not expired, with values corrected under conditions."""
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))
-    live = events.join(F.broadcast(now)).where(F.col("ts") + F.expr("INTERVAL 10 DAYS") > F.col("now"))
+    now = events.agg(F.max("ts").alias("now")).scalar()
+    live = events.where(F.col("ts") + F.expr("INTERVAL 10 DAYS") > now)
     fixed = F.when((F.col("event_type") == "error") & (F.col("value") < 0), 0.0).when(F.col("event_type") == "view", F.col("value") * 2).otherwise(F.col("value"))
     return live.select("event_id", fixed.alias("value"))
 

@@ -197,7 +197,10 @@ def theta_multi_predicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, suppliers = table(spark, sf_dir, "part").withColumn("block", F.col("p_partkey") % 25), table(spark, sf_dir, "supplier").withColumn("block", F.col("s_nationkey").cast("bigint"))
     rest = (F.abs(F.col("p_retailprice") - F.col("s_acctbal")) < 800) & (F.col("p_size") >= F.col("s_suppkey") % 10)
     pairs = match.blocked_join(parts, suppliers, ["block"], F.lit(1.0), residual=rest)
-    return pairs.groupBy("p_partkey").agg(F.array_join(F.slice(F.sort_array(F.collect_set("s_suppkey")), 1, 5), ",").alias("suppliers"), F.count("*").alias("n"))
+    # suppliers are ranked before any list is made, so that no list has more than five
+    of_part = Window.partitionBy("p_partkey")
+    ranked = pairs.withColumn("rank", F.row_number().over(of_part.orderBy("s_suppkey"))).withColumn("n", F.count("*").over(of_part)).where("rank <= 5")
+    return ranked.groupBy("p_partkey", "n").agg(F.array_join(F.sort_array(F.collect_list("s_suppkey")), ",").alias("suppliers")).select("p_partkey", "suppliers", "n")
 
 
 @BOOK.query("""
@@ -351,7 +354,7 @@ def resolver_pool_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     pool = nations.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("p"))
     alias = nations.where("n_nationkey % 4 = 2").select((F.col("n_nationkey") - 1).alias("c_nationkey"), F.col("n_name").alias("a"))
-    met = table(spark, sf_dir, "customer").join(pool, "c_nationkey", "left").join(alias, "c_nationkey", "left").join(F.broadcast(nations.agg(F.min("n_name").alias("z"))))
+    met = table(spark, sf_dir, "customer").join(pool, "c_nationkey", "left").join(alias, "c_nationkey", "left").withColumn("z", nations.agg(F.min("n_name")).scalar())
     return met.select("c_custkey", semantics.ladder([(F.col("p").isNotNull(), 0), (F.col("a").isNotNull(), 1)], 2).alias("pool"), F.coalesce("p", "a", "z").alias("name"))
 
 
