@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +63,11 @@ def any_match(values: Column, pattern: str) -> Column:
 def next_question(distinct: dict[str, Column]) -> Column:
     """The first question, in the order given, whose field still has two values or more."""
     return F.element_at(F.array_compact(F.array(*(F.when(n > 1, F.lit(k)) for k, n in distinct.items()), F.lit("none"))), 1)
+
+
+def mentioned_within(text: Column, keywords: list[str], negations: str, width: int) -> Column:
+    """Whether any keyword occurs and none, at its first place, has a negation in the `width` characters before; null where none occurs."""
+    at = [F.instr(text, F.lit(k)) for k in keywords]
+    before = [F.substr(text, F.greatest(F.lit(1), a - width), F.least(F.lit(width), F.greatest(a - 1, F.lit(0)))) for a in at]
+    denied = reduce(or_, ((a > 0) & b.rlike(negations) for a, b in zip(at, before, strict=True)))
+    return F.when(reduce(or_, (a > 0 for a in at)), ~denied)

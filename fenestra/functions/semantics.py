@@ -74,3 +74,9 @@ def ladder(steps: list[tuple[Column, object]], default: object = None) -> Column
     for condition, value in reversed(steps):
         out = F.when(condition, value if isinstance(value, Column) else F.lit(value)).otherwise(out)
     return out
+
+
+def centrality(low: Column, high: Column, x: Column) -> Column:
+    """1 in the middle of a closed range, falling to 0 half a range away; 1 for a range without length."""
+    half = (high - low + 1) / 2
+    return F.lit(1.0) - F.when(half > 0, F.least(F.lit(1.0), F.abs(x - (low + high) / 2) / half)).otherwise(F.lit(0.0))

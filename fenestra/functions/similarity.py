@@ -155,3 +155,9 @@ def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
 def level(score: Column, steps: list[tuple[float, str]], default: str) -> Column:
     """The name of the first step whose least score is reached."""
     return ladder([(score >= least, name) for least, name in steps], default)
+
+
+def completeness(fields: list[tuple[Column, int]]) -> Column:
+    """The weight of the fields that are there, as a share of all weights."""
+    found = sum((F.when(c.isNotNull(), w).otherwise(0) for c, w in fields), F.lit(0))
+    return found / sum(w for _, w in fields)

@@ -76,3 +76,8 @@ def dimensions(x: Column) -> Column:
     p = r"(\d{2,5})\s*[xX]\s*(\d{2,5})"
     side = lambda g: F.nullif(F.regexp_extract(x, p, g), F.lit("")).cast("int")
     return F.struct(side(1).alias("width"), side(2).alias("height"))
+
+
+def generation_of(text: Column) -> Column:
+    """T4 to T6 from a text that says T5, T-5, T 5 or MK5; null where it says none."""
+    return F.concat(F.lit("T"), F.nullif(F.regexp_extract(F.upper(text), r"\b(T|MK)[- ]?([456])\b", 2), F.lit("")))

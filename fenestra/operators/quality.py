@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenestra.functions.semantics import ladder
+
 
 def gates(rows: DataFrame, checks: dict[str, tuple[Column, float, bool]]) -> DataFrame:
     """gate, value, threshold, passed, in one pass: aggregate, bound, and whether the value must reach it (or stay below or at it)."""
@@ -28,3 +30,13 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
 def errors_of(checks: dict[str, Column]) -> Column:
     """Names of the checks that a row fails."""
     return F.array_compact(F.array(*(F.when(bad, F.lit(k)) for k, bad in checks.items())))
+
+
+def failure_bucket(wrong_vin: Column, candidate: Column, layer: Column, ktype: Column, wanted: Column) -> Column:
+    """Why a request failed: wrongly decoded, another type, no `candidate`, or lost in a later layer.
+
+    A type of null or 0 is unknown.
+    """
+    other_type = (F.coalesce(ktype, F.lit(0)) != 0) & (F.coalesce(wanted, F.lit(0)) != 0) & (ktype != wanted)
+    steps = [(wrong_vin, "vin_decode_error"), ((layer == 0) & other_type, "wrong_ktype"), ((layer == 0) & ~candidate, "missing_candidate"), (layer == 1, "year/generation_gate"), ((layer >= 2) | ~candidate, "model_alias_miss")]
+    return ladder(steps, "equipment_mismatch")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def browse_export(rows: DataFrame, path: str, by: str) -> None:
 
 def minified(rows: DataFrame, columns: list[str], path: str) -> None:
     rows.select(*columns).write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", True).json(path)
+
+
+def markdown_lines(rows: DataFrame, columns: dict[str, str], order: list) -> DataFrame:
+    """i, line: a short table as lines of Markdown, its heads first. Only for results of few rows, as all are put in one order."""
+    spark = rows.sparkSession
+    heads = spark.createDataFrame([(0, "| " + " | ".join(columns.values()) + " |"), (1, "|" + "---|" * len(columns))], "i int, line string")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    return heads.union(rows.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("i"), line.alias("line")))
