@@ -57,8 +57,9 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: What a finished write has shuffled is of no more use; lost files of it would be made again.
-TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Settings of the writes. What a finished write has shuffled is of no more use (lost files of it would be made
+#: again), and texts go to Python in batches of a few MB, however long they are.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def cut(df: DataFrame) -> DataFrame:

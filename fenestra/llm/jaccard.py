@@ -49,7 +49,7 @@ SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
 #: Rows of one bucket that a task holds as they come, rows of a block in which it compares, and pairs that it keeps back.
 RUN_ROWS, BLOCK, FLUSH_PAIRS = 2_000_000, 4096, 200_000
 #: Rounds in which each component tries the nearest class beside it.
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240501)
