@@ -4,7 +4,8 @@ Pass 1 counts, for every distinct line key, the documents that have it, by a
 128-bit hash. The hashes are dealt into shards; each shard is a minimal perfect
 hash over its keys with two arrays beside it: a fingerprint and the count of each
 key. Pass 2 sends the documents' hashes, not their lines, to the shards, where
-they probe the arrays; only hits come back, and pass 3 drops the lines.
+they probe the arrays; only hits come back, to the texts that have any, and pass 3
+drops the lines.
 
 A key in very many documents would send all of them to one shard. Keys met in
 more than 1 / HOT_PARTS of all places are at most HOT_PARTS; they are broadcast
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import SPACE_BYTES, cut, mix64, row_key
+from fenestra.llm.common import SPACE_BYTES, cut, mix64, row_key, sifted, stored
 
 #: Keys of one shard, about; a shard is built and probed in one task.
 SHARD_KEYS = 400_000
@@ -287,13 +288,18 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 1, least_docs: int = 10,
     hot = hot_keys(counts, least_docs)
     hot = hot[np.argsort(hot[:, 0])]
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    plain = docs.select(F.col("doc_id"), row_key().alias("row"), "text", *(F.col(c).alias(f"in_{i}") for i, c in enumerate(keep)))
+    rest = [F.col("`" + c.replace("`", "``") + "`").alias(f"in_{i}") for i, c in enumerate(keep)]
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").alias("id"), row_key().alias("row"), "text", *rest)
+    none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
     if total:
         index = cut(build_index(counts, shards))
-        hits = frequent_hits(docs, index, hot, shards, least_chars, least_docs).withColumnsRenamed({"doc_id": "h_id", "row": "h_row"})
-        plain = plain.join(hits, F.col("doc_id").cast("bigint").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row")), "left").drop("h_id", "h_row", "row")
+        hits = stored(frequent_hits(docs, index, hot, shards, least_chars, least_docs), "op3-hits")
+        # only texts that may have hits are shuffled to meet them
+        maybe, clear = sifted(plain, hits)
+        met = maybe.join(hits.withColumnsRenamed({"doc_id": "h_id", "row": "h_row"}), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row")), "left").drop("h_id", "h_row")
+        plain = met.unionByName(clear.withColumn("gone", none)).drop("row")
     else:
-        plain = plain.drop("row").withColumn("gone", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+        plain = plain.drop("row").withColumn("gone", none)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = {(int(a), int(b)) for a, b in shared.value}
@@ -319,7 +325,7 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 1, least_docs: int = 10,
                 texts.append(raw.decode("utf-8", "surrogatepass"))
                 shas.append(hashlib.sha256(raw).hexdigest())
             rest = [batch.column(f"in_{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string()), *rest], names=["doc_id", "n_lines", "n_dropped", "text", "kept_sha256", *(f"in_{i}" for i in range(len(keep)))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string()), *rest], names=["doc_id", "n_lines", "n_dropped", "text", "kept_sha256", *(f"in_{i}" for i in range(len(keep)))])
 
     types = dict(docs.dtypes)
     schema = f"doc_id {types['doc_id']}, n_lines bigint, n_dropped bigint, text string, kept_sha256 string" + "".join(f", in_{i} {types[c]}" for i, c in enumerate(keep))
