@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fenestra.llm.common import WORD_REGEX, cut
 
 #: Documents of one source and size that one window sorts.
-CELL_ROWS = 5000
+CELL_ROWS = 500
 #: Fixed point of the sums over words and rates.
 UNIT = 4096.0
 MAX_STEPS = 80
@@ -84,8 +84,11 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         off = F.coalesce(F.abs("miss") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0))
         # a source that is there stays where it is
         state = cut(now.select("skey", "source_size", "target", "scale", F.when(off < 1e-7, F.col("lam")).otherwise(F.coalesce(step, F.col("lam"))).alias("lam"), "lo", "hi", off.alias("off")))
-        if (state.agg(F.max("off")).first()[0] or 0.0) < 1e-7:
-            break
+        most = state.agg(F.max("off")).first()[0] or 0.0
+        if most < 1e-7:
+            return state
+    if most > 1e-4:
+        raise ArithmeticError(f"after {MAX_STEPS} steps a source is still {most:.2g} of its target away from it")
     return state
 
 
@@ -114,8 +117,10 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
 
     Returns doc_id, size, source_size, target, taken, copies, source. A null or empty
     text has size 0 and is taken with 0 words. A null source is a source of its
-    own, ranked last. Rows that repeat are counted and mixed as rows. An empty
-    table gives an empty result. Other columns of `docs` are ignored.
+    own, ranked last. Rows that repeat are counted and mixed as rows. Texts of any
+    length count whole; of equally large documents, a hash of id and text says which is
+    taken once more. An empty table gives an empty result. Other columns of `docs` are
+    ignored.
     """
     rows = cut(
         docs.select(
