@@ -4,7 +4,8 @@ Rules find assignments, access keys and hex strings. Besides, every long token g
 the log-likelihood ratio of two first-order character models: one of random
 strings, one of ordinary identifiers. Both are trained from a labelled sample:
 random are values that the rules find in a bounded sample of documents, and
-digests in several alphabets; ordinary are the other words of that sample.
+digests in several alphabets; ordinary are the other words of that sample, as they
+are, in capitals and as parts of a path.
 
 Spark has no function for the places of all matches of a pattern. They follow from
 the pieces between the matches: a match starts where its piece ends.
@@ -72,7 +73,8 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
     some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30)).select("text")
     ruled = [F.regexp_extract_all("text", F.lit(p), F.lit(g)) for _, p, g, _ in RULES]
     hits = some.select(F.explode(F.concat(*ruled)).alias("value")).where("length(value) >= 16").distinct().select("value", F.lit(True).alias("random"))
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_-]{4,}"), F.lit(0))).alias("value")).where(f"NOT value RLIKE '[0-9]' OR length(value) < 12").distinct().select("value", F.lit(False).alias("random"))
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_-]{4,}"), F.lit(0))).alias("value")).where(f"NOT value RLIKE '[0-9]' OR length(value) < 12").distinct()
+    words = words.select(F.explode(F.array("value", F.upper("value"), F.concat_ws("/", "value", "value"))).alias("value"), F.lit(False).alias("random"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
     made = docs.sparkSession.range(SYNTHETIC).select(F.explode(F.array(F.substring(digest, 1, 40), coded, F.translate(coded, "+/=", "-_"), F.upper(F.regexp_replace(coded, "[+/=]", "")))).alias("value"), F.lit(True).alias("random"))

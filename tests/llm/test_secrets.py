@@ -57,3 +57,20 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_recall_of_planted_keys(spark):
+    """Random keys of several alphabets and lengths that no rule finds, against long ordinary words: recall and false alarms."""
+    rng = random.Random(17)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base62": lower + upper + digits, "base64": lower + upper + digits + "+/", "url": lower + upper + digits + "-_", "upper": upper + digits, "lower": lower + digits}
+    plain = fixture()[:150]
+    keys = {i: (name, "".join(rng.choices(a, k=rng.randint(24, 48)))) for i, (name, a) in enumerate(sorted(alphabets.items()) * 60, 5000)}
+    names = ["internationalization_of_identifiers", "getConfigurationValueOfSetting", "some-very-long-hyphenated-name", "SETTINGS_OVERRIDE_DEFAULT_VALUE", "path/to/some/nested/directory/name"]
+    rows = plain + [(i, f"see {key} here") for i, (_, key) in keys.items()] + [(9000 + i, f"call {x} now") for i, x in enumerate(names * 20)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    found = {i: f"markov:4:{4 + len(key)}" in got[i].spans or got[i].n_hex > 0 for i, (_, key) in keys.items()}
+    by_alphabet = {name: sum(found[i] for i, (n, _) in keys.items() if n == name) / 60 for name in alphabets}
+    alarms = {names[i % 5] if i >= 9000 else i for i in got if (i < 5000 or i >= 9000) and got[i].n_markov}
+    assert min(by_alphabet.values()) >= 0.9, by_alphabet
+    assert not alarms
