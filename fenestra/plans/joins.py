@@ -31,11 +31,17 @@ def product_tokens():
     return F.array_distinct(F.split(F.lower(text), " "))
 
 
+def _products(parts: DataFrame) -> DataFrame:
+    """Parts with their distinct tokens in one string, which is a cheaper key than an array."""
+    return parts.select("p_partkey", "p_brand", "p_size", F.array_join(product_tokens(), " ").alias("p_text"))
+
+
 def _near_families(products: DataFrame, groups: DataFrame) -> DataFrame:
-    """p_brand, p_tokens, family, lo, hi, members, jaccard: distinct texts and the families of their brand with a common token."""
-    texts = products.select("p_brand", "p_tokens").distinct()
-    met = match.shared_tokens(texts, groups, ["p_brand"], ["p_tokens"], ["family", "lo", "hi", "members", "f_n"], tokens=("p_tokens", "f_tokens"))
-    return met.withColumn("jaccard", F.col("shared") / (F.size("p_tokens") + F.col("f_n") - F.col("shared"))).drop("shared", "f_n")
+    """p_brand, p_text, family, lo, hi, members, jaccard: distinct texts and the families of their brand with a common token."""
+    texts = products.select("p_brand", "p_text").distinct().withColumn("p_tokens", F.split("p_text", " "))
+    met = match.shared_tokens(texts, groups, ["p_brand"], ["p_text"], ["family"], tokens=("p_tokens", "f_tokens"))
+    met = met.join(groups.select("family", "lo", "hi", "members", "f_n"), "family")
+    return met.withColumn("jaccard", F.col("shared") / (F.size(F.split("p_text", " ")) + F.col("f_n") - F.col("shared"))).drop("shared", "f_n")
 
 
 @BOOK.query(f"""
@@ -57,24 +63,30 @@ def blocked_fuzzy_join_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     parts = table(spark, sf_dir, "part")
     groups = families(parts)
-    products = parts.select("p_partkey", "p_brand", "p_size", product_tokens().alias("p_tokens"))
-    asked = products.select("p_brand", "p_tokens", "p_size").distinct()
+    products = _products(parts)
+    asked = products.select("p_brand", "p_text", "p_size").distinct()
     inside = semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size"))
-    key, away, near = ["p_brand", "p_tokens", "p_size"], 0.3, 0.2
+    key, away, near = ["p_brand", "p_text", "p_size"], 0.3, 0.2
 
     def ranked(pairs: DataFrame, text_score: Column) -> DataFrame:
         score = F.round(F.least(F.lit(1.0), text_score + F.when(inside, near).otherwise(near - away)), 9)
         return match.best_with_gap(pairs.select(*key, "family", inside.alias("inside"), score.alias("score")), key, "score", ["family"])
 
     texts = _near_families(products, groups).withColumn("text_score", F.col("jaccard") + 0.05)
-    by_score = Window.partitionBy("p_brand", "p_tokens").orderBy(F.desc("text_score"))
-    second = F.max(F.when(F.col("n") == 2, F.col("text_score"))).over(Window.partitionBy("p_brand", "p_tokens"))
+    by_score = Window.partitionBy("p_brand", "p_text").orderBy(F.desc("text_score"))
+    second = F.max(F.when(F.col("n") == 2, F.col("text_score"))).over(Window.partitionBy("p_brand", "p_text"))
     texts = texts.withColumn("n", F.row_number().over(by_score)).withColumn("second", second).where(f"text_score >= coalesce(second, 0) - {away + 1e-6}")
-    first = ranked(asked.join(texts, ["p_brand", "p_tokens"]), F.col("text_score"))
-    sure = first.where(F.col("second_score") > near + 1e-6)
-    rest = match.blocked_join(asked.join(sure.select(*key), key, "left_anti"), groups, ["p_brand"], similarity.jaccard(F.col("p_tokens"), F.col("f_tokens")))
-    shared = F.when(F.col("score") > 0, F.col("score") + 0.05).otherwise(0.0)
-    best = products.join(sure.unionByName(ranked(rest, shared)), key)
+    first = ranked(asked.join(texts, ["p_brand", "p_text"]), F.col("text_score"))
+    first = asked.join(first, key, "left").withColumn("sure", F.coalesce(F.col("second_score") > near + 1e-6, F.lit(False)))
+    # those that aren't sure meet all families of their brand, the others none
+    rest = groups.select(F.col("p_brand").alias("o_brand"), F.col("family").alias("o_family"), "lo", "hi", "f_tokens", F.lit(False).alias("o_sure"))
+    wide = first.join(rest, (F.col("p_brand") == F.col("o_brand")) & (F.col("sure") == F.col("o_sure")), "left")
+    of_text = similarity.jaccard(F.split("p_text", " "), F.col("f_tokens"))
+    other = F.round(F.least(F.lit(1.0), of_text + F.when(of_text > 0, 0.05).otherwise(0.0) + F.when(inside, near).otherwise(near - away)), 9)
+    pick = lambda own, new: F.when(F.col("sure"), F.col(own)).otherwise(new)
+    wide = wide.select(*key, pick("family", F.col("o_family")).alias("family"), pick("inside", inside).alias("inside"), pick("score", other).alias("score"), F.when(F.col("sure"), F.col("second_score")).alias("known"))
+    best = match.best_with_gap(wide, key, "score", ["family"]).withColumn("second_score", F.coalesce("known", "second_score"))
+    best = products.join(best.withColumn("score_gap", F.col("score") - F.col("second_score")), key)
     certain = (F.col("score") >= 0.8) & F.col("inside") & (F.col("score") - F.coalesce("second_score", F.lit(-1.0)) > 0.15)
     kind = F.when(certain, F.lit("high")).when((F.col("score") >= 0.5) & F.col("inside"), F.lit("medium")).otherwise(F.lit("low"))
     return best.select("p_partkey", "family", F.round("score", 6).alias("score"), F.round("score_gap", 6).alias("score_gap"), kind.alias("class"))
@@ -286,9 +298,9 @@ SELECT p_partkey, r.family, round(score, 6) AS score, members FROM r JOIN m USIN
 def family_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The family whose range holds a product and whose tokens are nearest, with its number of members."""
     parts = table(spark, sf_dir, "part")
-    products = parts.select("p_partkey", "p_brand", "p_size", product_tokens().alias("p_tokens"))
+    products = _products(parts)
     texts = _near_families(products, families(parts)).withColumn("score", F.round("jaccard", 9)).where("score >= 0.3")
-    pairs = products.join(texts, ["p_brand", "p_tokens"]).where(semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size")))
+    pairs = products.join(texts, ["p_brand", "p_text"]).where(semantics.covers(F.col("lo"), F.col("hi"), F.col("p_size")))
     best = pairs.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("less"), "family", "members")).alias("m"))
     return best.select("p_partkey", "m.family", F.round(-F.col("m.less"), 6).alias("score"), "m.members")
 
