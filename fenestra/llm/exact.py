@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import SPACE_BYTES, TIDY, KeyFilter, row_key, scratch, settings, stored, without
+from fenestra.llm.common import SPACE_BYTES, TIDY, KeyFilter, Scratch, row_key, scratch, settings, stored, without
 
 #: Digest files that one micro-batch reads at most.
 FILES_PER_BATCH = 512
@@ -118,12 +118,12 @@ class Ledger:
         wrong = stored(colliding(self.texts(docs, number, state), state, self.digest_bytes), "op7-unlike")
         own = rows.where(F.col("delivery") == number)
         if not wrong.limit(1).count():
-            return _grouped(own.join(state, "digest"))
+            return _grouped(own.join(state, "digest"), own)
         # unlike texts share a digest: the bytes of all its texts decide
         texts = self.texts(docs, number, wrong.withColumn("n", F.lit(2)))
         split = _with_bytes(texts, self.digest_bytes).join(wrong, "digest")
         told = split.join(split.groupBy("bytes").agg(_best().alias("best"), F.count("*").alias("n")), "bytes").where("own").drop("bytes", "own")
-        return _grouped(own.join(wrong, "digest", "left_anti").join(state, "digest").select(*told.columns).union(told))
+        return _grouped(own.join(wrong, "digest", "left_anti").join(state, "digest").select(*told.columns).union(told), own)
 
     def texts(self, docs: DataFrame, number: int, hit: DataFrame) -> DataFrame:
         """The rows of `docs` with their texts, and earlier rows of the digests in `hit` (digest, n) that have more than one, read by their locators."""
@@ -197,10 +197,10 @@ def colliding(texts: DataFrame, state: DataFrame, digest_bytes: int) -> DataFram
     return compared.where("wrong OR a <> b").select("digest")
 
 
-def _grouped(joined: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, row, keep_row, of rows joined with the state of their group."""
+def _grouped(joined: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, row, keep_row, of `rows` joined with the state of their group."""
     same = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("row") == F.col("best.row"))
-    if joined.groupBy("digest", "doc_id", "row").count().where("count > 1").limit(1).count():
+    if rows.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
         # rows with the same id and text are counted, so that no task has to hold them, and dealt out again: the first is kept
         counted = joined.groupBy("digest", "sha", "doc_id", "row", "best", "n").count()
         joined = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
@@ -224,7 +224,10 @@ def exact_groups(docs: DataFrame, *, digest_bytes: int = 32, files_per_batch: in
 
 def drop_copies(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay; what `exact_groups` drops goes, and no text is shuffled for that but of rows with such ids."""
-    groups = exact_groups(docs, digest_bytes=digest_bytes)
+    space = Scratch(docs.sparkSession, "op7")
+    groups = Ledger(docs.sparkSession, space.home, digest_bytes=digest_bytes).deliver(docs)
     # rows may repeat both id and text: of those, one row stays if any does
     fate = groups.groupBy("doc_id", "row").agg(F.count_if("kept").alias("stay"), F.count("*").alias("all")).where("stay < all")
-    return without(docs, stored(fate.select("doc_id", "row", "stay"), "op7-dropped"))
+    dropped = stored(fate.select("doc_id", "row", "stay"), "op7-dropped")
+    space.drop()
+    return without(docs, dropped)

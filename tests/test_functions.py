@@ -98,3 +98,26 @@ def test_aggregates_and_state(spark):
     gates = quality.gates(rows, {"rows": (F.count("*"), 5.0, True), "nulls": (F.count_if(F.col("v").isNull()), 0.0, False)})
     assert sorted((r.gate, r.passed) for r in gates.collect()) == [("nulls", False), ("rows", True)]
     assert aggregate.mode_vote(rows.where("false"), ["k"], "v").count() == 0
+
+
+def test_generation_and_negation_in_characters(spark):
+    assert values(spark, years.generation_of, "Transporter T5", "x t-6 y", "MK4", "T45", "none", "", None) == ["T5", "T6", "T4", None, None, None, None]
+    said = lambda x: flags.mentioned_within(x, ["heated", "warm"], "uten|ikke", 15)
+    assert values(spark, said, "heated", "uten heated", "ikke " + "x" * 15 + "heated", "uten warm, heated", "", None, "cold") == [True, False, True, False, None, None, None]
+
+
+def test_completeness_and_centrality(spark):
+    fields = lambda x: similarity.completeness([(x, 3), (F.length(x), 1), (F.lit(None), 4)])
+    assert values(spark, fields, "a", None) == [0.5, 0.0]
+    near = lambda x: semantics.centrality(F.lit(2), F.lit(6), x.cast("int"))
+    assert values(spark, near, "4", "2", "9") == [1.0, pytest.approx(0.2), 0.0]
+
+
+def test_shared_tokens_and_numbers(spark):
+    left = spark.createDataFrame([("b", 1, ["x", "y"]), ("b", 2, []), ("c", 3, ["x"]), (None, 4, ["x"])], "block string, i int, a array<string>")
+    right = spark.createDataFrame([("b", 10, ["y", "x", "z"]), ("b", 11, ["z"]), (None, 12, ["x"])], "block string, j int, b array<string>")
+    got = match.shared_tokens(left, right, ["block"], ["i"], ["j"], tokens=("a", "b")).collect()
+    assert [(r.block, r.i, r.j, r.shared) for r in got] == [("b", 1, 10, 2)]
+    rows = spark.createDataFrame([("b", 2), ("a", 9), ("b", 1), (None, 5), ("a", 3)], "block string, n int")
+    assert sorted((r.k, r.block, r.n) for r in match.numbered(rows, "block", ["n"], "k").collect()) == [(1, None, 5), (2, "a", 3), (3, "a", 9), (4, "b", 1), (5, "b", 2)]
+    assert match.numbered(rows.where("false"), "block", ["n"], "k").count() == 0
