@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import ALNUM_GAP, ALNUM_REGEX, cut, row_key, sifted, stored, without
+from fenestra.llm.common import ALNUM_GAP, ALNUM_REGEX, Scratch, cut, row_key, sifted, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
@@ -79,7 +79,7 @@ def in_proximity(agreed: DataFrame) -> DataFrame:
     return seen.where("seen >= need").groupBy("doc_id", "row", "item_id").agg(F.max("seen").alias("near"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, benchmark: DataFrame, space: Scratch, *, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Exact matches (doc_id, row, item_id, pos: words inside occurring windows) and proximity matches (doc_id, row, item_id, near)."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text")
     items = cut(item_words(benchmark))
@@ -87,7 +87,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> tupl
     counts = placed_words(keyed).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     seeded = cut(seeds(items, counts, window))
     # the stored index: postings of the seeds
-    index = stored(placed_words(keyed).join(_bounded(seeded.select("word").distinct()), "word").select("doc_id", "row", "pos", "word"), "op9-postings")
+    index = space.put(placed_words(keyed).join(_bounded(seeded.select("word").distinct()), "word").select("doc_id", "row", "pos", "word"))
     starts = index.join(_bounded(seeded), "word").select("doc_id", "row", "item", "item_id", (F.col("pos") - F.col("at")).alias("start"), "need", "at")
     # dealt by document and item, so that the starts of both are at one place to slide over
     agreed = starts.repartition("doc_id", "row", "item").groupBy("doc_id", "row", "item", "item_id", "start").agg(F.collect_set("at").alias("ats"), F.first("need").alias("need"))
@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     item_id; a null item_id counts as an item, but has no name in items_sha256. An
     empty benchmark hits nothing. Other columns, whatever their names, are ignored.
     """
-    exact, near = find(docs, benchmark, window=window)
+    exact, near = find(docs, benchmark, Scratch(docs.sparkSession, "op9"), window=window)
     by_item = exact.groupBy("doc_id", "row", "item_id").agg(F.collect_set("pos").alias("at"))
     hits = by_item.groupBy("doc_id", "row").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_hit"), F.count("*").alias("n_items"),
@@ -138,5 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, with all their columns, in which no window of the benchmark occurs."""
-    exact, _ = find(docs, benchmark, window=window)
-    return without(docs, stored(exact.select("doc_id", "row", F.lit(0).alias("stay")).distinct(), "op9-dropped"))
+    space = Scratch(docs.sparkSession, "op9")
+    exact, _ = find(docs, benchmark, space, window=window)
+    dropped = stored(exact.select("doc_id", "row", F.lit(0).alias("stay")).distinct(), "op9-dropped")
+    space.drop()
+    return without(docs, dropped)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -48,6 +49,8 @@ CHANCE = 75.0
 SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
 #: Rows of one bucket that a task holds as they come, rows of a block in which it compares, and pairs that it keeps back.
 RUN_ROWS, BLOCK, FLUSH_PAIRS = 2_000_000, 4096, 200_000
+#: Bytes of sets that one turn of verification moves with its pairs, or an eighth of all sets if that is more.
+TURN_BYTES = 32 << 20
 #: Rounds in which each component tries the nearest class beside it.
 NEAREST_ROUNDS = 1
 
@@ -503,7 +506,11 @@ def _pairs(mode: str, percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; only the sets of classes in `pairs` are moved."""
+    """The pairs (a, b) that link, by their whole sets; only the sets of classes in `pairs` are moved.
+
+    All pairs are verified, but where they would move many times the bytes of all sets they
+    are taken in turns, so that what lies on disk at once is in proportion to the sets.
+    """
     shared = KeyFilter.build(pairs.select(F.explode(F.array("a", "b")).alias("class")))
     words = pairs.sparkSession.sparkContext.broadcast(shared.words)
 
@@ -513,7 +520,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) ->
             yield batch.filter(pa.array(test.test(batch.column(0).to_numpy())))
 
     some = space.put(sets.select("class", "shingles").mapInArrow(asked, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    mean = some.agg(F.avg(F.length("shingles"))).first()[0] or 0
+    whole = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    turns = int(pairs.count() * mean // max(TURN_BYTES, whole // 8)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -526,7 +535,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) ->
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return space.put(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+    def linked(some_pairs: DataFrame) -> DataFrame:
+        both = some_pairs.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+        return space.put(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+
+    turn = F.pmod(F.xxhash64("a", F.lit("turn")), F.lit(turns))
+    return reduce(DataFrame.union, [linked(pairs.where(turn == i)) for i in range(turns)])
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -569,7 +583,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return parts
 
 
-def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, space: Scratch | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, row,
     kept (it is the first row of its group).
 
@@ -579,16 +593,17 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     smallest doc_id that links reach, itself included. A null text and one without
     words have no shingles and link with nothing; rows with a null doc_id link, but
     give no id unless alone (then null). Rows that repeat are equal sets. Extra
-    columns are ignored.
+    columns are ignored. The result reads tables in `space`.
     """
-    rows = stored(_summaries(docs, words), "op5-rows")
+    space = space or Scratch(docs.sparkSession, "op5-groups")
+    rows = space.put(_summaries(docs, words))
     parts = _linked(docs, words, percent)
     # first by class, so that what meets in one component is a row a class, and then by component
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
     classes = rows.where("n > 0").groupBy("class").agg(first.alias("first")).join(parts.withColumnRenamed("node", "class"), "class", "left")
-    classes = stored(classes.select("class", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked"), "first"), "op5-classes")
-    least = stored(classes.where("linked").groupBy("component").agg(F.min("first").alias("least")), "op5-least")
-    named = stored(classes.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("best")), "op5-named")
+    classes = space.put(classes.select("class", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked"), "first"))
+    least = space.put(classes.where("linked").groupBy("component").agg(F.min("first").alias("least")))
+    named = space.put(classes.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("best")))
     # a row without shingles is alone
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(True).alias("kept"))
     placed = rows.where("n > 0").join(named, "class")
@@ -602,6 +617,9 @@ def drop_near(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFram
     Of equal texts, too, one row stays, also where the doc_id is the same; documents
     without words all stay.
     """
-    groups = near_groups(docs, words=words, percent=percent)
+    space = Scratch(docs.sparkSession, "op5-groups")
+    groups = near_groups(docs, words=words, percent=percent, space=space)
     fate = groups.groupBy("doc_id", "row").agg(F.when(~F.first("kept"), 0).when(F.first("n_shingles") > 0, 1).otherwise(F.count("*")).alias("stay"), F.count("*").alias("all")).where("stay < all")
-    return without(docs, stored(fate.select("doc_id", "row", "stay"), "op5-dropped"))
+    dropped = stored(fate.select("doc_id", "row", "stay"), "op5-dropped")
+    space.drop()
+    return without(docs, dropped)

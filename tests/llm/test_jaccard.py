@@ -86,7 +86,8 @@ def test_blocks_and_large_buckets(spark, monkeypatch):
     """Buckets dealt into many small blocks, and too large to be held, give the same."""
     for name in ("RUN_ROWS", "BLOCK", "FLUSH_PAIRS"):
         monkeypatch.setattr(jaccard, name, 5)
-    rows = fixture(8, 100)
+    monkeypatch.setattr(jaccard, "TURN_BYTES", 5000)
+    rows = fixture(8, 60)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     for modes in ((), ("centre", "nearest")):
         whole = jaccard._pairs
