@@ -49,7 +49,7 @@ CHANCE = 75.0
 SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
 #: Rows of one bucket that a task holds as they come, rows of a block in which it compares, and pairs that it keeps back.
 RUN_ROWS, BLOCK, FLUSH_PAIRS = 2_000_000, 4096, 200_000
-#: Bytes of sets that one turn of verification moves with its pairs, or an eighth of all sets if that is more.
+#: Bytes of sets that one turn of verification moves with its pairs, or a quarter of all sets if that is more.
 TURN_BYTES = 32 << 20
 #: Rounds in which each component tries the nearest class beside it.
 NEAREST_ROUNDS = 1
@@ -522,7 +522,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) ->
     some = space.put(sets.select("class", "shingles").mapInArrow(asked, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles")))
     mean = some.agg(F.avg(F.length("shingles"))).first()[0] or 0
     whole = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    turns = int(pairs.count() * mean // max(TURN_BYTES, whole // 8)) + 1
+    turns = int(pairs.count() * mean // max(TURN_BYTES, whole // 4)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,12 +535,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) ->
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    def linked(some_pairs: DataFrame) -> DataFrame:
-        both = some_pairs.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
+    def linked(turn: int) -> DataFrame:
+        of_turn = lambda c: F.pmod(F.xxhash64(c, F.lit("turn")), F.lit(turns)) == turn
+        first = some.where(of_turn("class")).select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+        both = pairs.where(of_turn("a")).join(first, "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
         return space.put(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
 
-    turn = F.pmod(F.xxhash64("a", F.lit("turn")), F.lit(turns))
-    return reduce(DataFrame.union, [linked(pairs.where(turn == i)) for i in range(turns)])
+    return reduce(DataFrame.union, map(linked, range(turns)))
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
