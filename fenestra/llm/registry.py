@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenestra.llm import decontaminate, exact, jaccard, langid, licenses, lines, mixing, oracles, secrets, tokens, toxicity
+from fenestra.llm import decontaminate, exact, jaccard, langid, licenses, lines, mixing, oracles, packing, secrets, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,8 +59,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     f.__name__: f
-    for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op5_ngram_jaccard, op6_licenses, op7_exact_dedup, op8_token_counts, op9_decontaminate, op9_proximity, op10_secrets)
+    for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op5_ngram_jaccard, op6_licenses, op7_exact_dedup, op8_token_counts, op9_decontaminate, op9_proximity, op10_secrets, op11_pack)
 }
 ORACLES |= {"op3_line_dedup": oracles.LINES, "op5_ngram_jaccard": oracles.JACCARD, "op7_exact_dedup": oracles.COPIES, "op9_decontaminate": oracles.LEAKS}
