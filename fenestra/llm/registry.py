@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenestra.llm import decontaminate, exact, jaccard, langid, licenses, lines, mixing, oracles, packing, secrets, tokens, toxicity
+from fenestra.llm import decontaminate, exact, jaccard, langid, licenses, lines, mixing, oracles, packing, prefix_trie, secrets, tokens, toxicity, treaps
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,8 +63,16 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), family=5, shares=prefix_trie.crc_shares, most=8)
+
+
 QUERIES |= {
     f.__name__: f
-    for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op5_ngram_jaccard, op6_licenses, op7_exact_dedup, op8_token_counts, op9_decontaminate, op9_proximity, op10_secrets, op11_pack)
+    for f in (op1_mix_sources, op2_toxicity, op3_line_dedup, op4_language, op5_ngram_jaccard, op6_licenses, op7_exact_dedup, op8_token_counts, op9_decontaminate, op9_proximity, op10_secrets, op11_pack, op12_ranked_search, op13_prefix_trie)
 }
-ORACLES |= {"op3_line_dedup": oracles.LINES, "op5_ngram_jaccard": oracles.JACCARD, "op7_exact_dedup": oracles.COPIES, "op9_decontaminate": oracles.LEAKS}
+ORACLES |= {"op3_line_dedup": oracles.LINES, "op5_ngram_jaccard": oracles.JACCARD, "op7_exact_dedup": oracles.COPIES, "op9_decontaminate": oracles.LEAKS, "op12_ranked_search": oracles.RANKED, "op13_prefix_trie": oracles.TRIE}
