@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fenestra.plans import aggregates, checks, facets, joins, resolvers, scalars, state
+from fenestra.plans import aggregates, checks, facets, joins, loads, resolvers, scalars, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (facets, scalars, joins, resolvers, aggregates, state, checks):
+for _module in (facets, scalars, joins, resolvers, aggregates, state, checks, loads):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
