@@ -54,6 +54,33 @@ def ordered_layers(layers: list[DataFrame], key: list[str], order: list[str]) ->
     return union.withColumn("__first", first).where("__first = 1").drop("__first")
 
 
+def residual_cascade(asked: DataFrame, layers: list[tuple[str, DataFrame]], keys: list[str], home: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, layer, name, answer) of every distinct key of `asked`, and (layer, name, asked, found, left) of every layer.
+
+    A layer is a name and rows (its own keys, answer), of which the least answer of a key counts. It is
+    asked only for the keys that all earlier layers left: these are written to a folder of
+    their own below `home`, so that later layers neither see nor compute anything of what is answered. It
+    ends when nothing is left. Keys that no layer knows have null answers. Null is a key
+    like any other in `asked`; a layer's own keys, which may be some of `keys`, must not be null.
+    """
+    spark, left = asked.sparkSession, asked.select(*keys).distinct()
+    found, log = [], []
+    for i, (name, layer) in enumerate(layers):
+        on = [c for c in layer.columns if c != "answer"]
+        least = layer.groupBy(*on).agg(F.min("answer").alias("answer"))
+        probed = left.join(least, on, "left").select(*keys, "answer", F.col("answer").isNotNull().alias("known"))
+        probed.write.mode("overwrite").partitionBy("known").parquet(f"{home}/{i}")
+        met = spark.read.schema(probed.schema).parquet(f"{home}/{i}")
+        n = {r.known: r["count"] for r in met.groupBy("known").count().collect()}
+        log.append((i, name, sum(n.values()), n.get(True, 0), n.get(False, 0)))
+        found.append(met.where("known").select(*keys, F.lit(i).alias("layer"), F.lit(name).alias("name"), "answer"))
+        left = met.where("NOT known").select(*keys)
+        if not n.get(False, 0):
+            break
+    nothing = left.select(*keys, F.lit(None).cast("int").alias("layer"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(dict(layers[0][1].dtypes)["answer"]).alias("answer"))
+    return reduce(DataFrame.unionByName, found + [nothing]), spark.createDataFrame(log, "layer int, name string, asked bigint, found bigint, left bigint")
+
+
 def first_layer_rows(layers: list[DataFrame], key: list[str]) -> DataFrame:
     """All rows of each key's first layer."""
     union = reduce(DataFrame.unionByName, (d.withColumn("layer", F.lit(i)) for i, d in enumerate(layers)))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fenestra.functions import codes
 from fenestra.operators import normalise, phrases
 from fenestra.plans.book import Book
 from fenestra.sources.tables import table
@@ -99,4 +100,44 @@ def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), F.sha2(listed, 256).alias("matches_sha256"))
 
 
+# ---------------------------------------------------------------- part codes
+
+
+_CODE_TYPES = [(c, t) for c, t in ((1, "A"), (2, "B"), (3, "F"), (3, "R"), (4, "G"), (5, "AK"), (5, "RS"), (6, "GX"))]
+_CODE_TRAITS = ["A", "C", "H", "M", "U"]
+_AT = lambda values, i: f"[{', '.join(repr(str(v)) for v in values)}][{i} + 1]"
+
+
+def _code_sql(pick) -> str:
+    """What a part's code is made of, by arithmetic on key and size; `pick` writes the i-th of a list."""
+    tables = {"tint": codes.TINTS, "top": codes.TOP_TINTS, "place": codes.PLACES}
+    symbol = {k: list(t) for k, t in tables.items()} | {"body": ["H", "S", "C", "E", "M"]}
+    return f"""SELECT p_partkey, p_size, {pick([c for c, _ in _CODE_TYPES], "p_partkey % 8")} AS category, {pick([t for _, t in _CODE_TYPES], "p_partkey % 8")} AS type, {pick(symbol["tint"], "p_size % 27")} AS tint,
+    CASE WHEN p_partkey % 2 = 1 THEN {pick(symbol["top"], "p_size % 6")} END AS top, CASE WHEN p_partkey % 8 = 1 THEN {pick(symbol["body"], "p_size % 5")} END AS body,
+    CASE WHEN p_partkey % 8 IN (2, 3) AND p_size % 4 <> 0 THEN {pick(symbol["place"], "p_size % 9")} END AS place,
+    concat({', '.join(f"CASE WHEN floor(p_size / {1 << i}) % 2 = 1 THEN '{t}' ELSE '' END" for i, t in enumerate(_CODE_TRAITS))}) AS traits, lpad(CAST(p_partkey % 10000 AS varchar(9)), 4, '0') AS vehicle FROM part"""
+
+
+_LABEL = lambda table, key: "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+@BOOK.query(f"""
+WITH c AS ({_code_sql(_AT)}), w AS (SELECT *, vehicle || type || tint || coalesce(top, '') || coalesce(body, '') || coalesce(place, '') || traits AS whole, p_partkey % 13 AS fault FROM c),
+x AS (SELECT *, fault NOT IN (5, 7) AS good FROM w)
+SELECT p_partkey, CASE fault WHEN 5 THEN vehicle WHEN 7 THEN vehicle || '?' || type WHEN 9 THEN whole || '#1' ELSE whole END AS code,
+  CASE WHEN good THEN {_LABEL(codes.CATEGORIES, 'category')} END AS category, CASE WHEN good THEN {_LABEL({t: v for types in codes.TYPES.values() for t, v in types.items()}, 'type')} END AS glass_type,
+  CASE WHEN good THEN {_LABEL(codes.TINTS, 'tint')} END AS tint, CASE WHEN good THEN {_LABEL(codes.TOP_TINTS, 'top')} END AS top_tint, CASE WHEN good THEN {_LABEL(codes.BODIES, 'body')} END AS body,
+  CASE WHEN good THEN {_LABEL(codes.PLACES, 'place')} END AS position, CASE WHEN good AND place[1] = 'F' THEN 'driver' WHEN good AND place[1] = 'R' THEN 'passenger' END AS side, CASE WHEN good THEN traits ELSE '' END AS traits,
+  CASE fault WHEN 5 THEN 'short' WHEN 7 THEN 'type' WHEN 9 THEN 'rest' END AS error, CAST(CASE fault WHEN 5 THEN 5 WHEN 7 THEN 5 WHEN 9 THEN length(whole) + 1 END AS integer) AS error_at FROM x""")
+def code_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code for every part, encoded from its features and decoded again; some are malformed, and the place of the fault is reported."""
+    pick = lambda values, i: f"element_at(array({', '.join(repr(str(v)) for v in values)}), CAST({i} AS int) + 1)"
+    made = spark.sql(_code_sql(pick).replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    whole = codes.encoded(F.col("vehicle"), F.col("type"), F.col("tint"), F.col("top"), F.col("body"), F.col("place"), traits=F.split("traits", ""))
+    fault = F.col("p_partkey") % 13
+    code = F.when(fault == 5, F.col("vehicle")).when(fault == 7, F.concat("vehicle", F.lit("?"), "type")).when(fault == 9, F.concat(whole, F.lit("#1"))).otherwise(whole)
+    read = made.select("p_partkey", code.alias("code")).withColumn("d", codes.decoded(F.col("code")))
+    return read.select("p_partkey", "code", "d.category", "d.glass_type", "d.tint", "d.top_tint", "d.body", "d.position", "d.side", F.array_join("d.traits", "").alias("traits"), "d.error", F.col("d.at").alias("error_at"))
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

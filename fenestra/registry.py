@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fenestra.plans import aggregates, checks, facets, joins, loads, normalisers, resolvers, scalars, state
+from fenestra.plans import aggregates, cascades, checks, facets, joins, loads, normalisers, resolvers, scalars, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (facets, scalars, joins, resolvers, aggregates, state, checks, loads, normalisers):
+for _module in (facets, scalars, joins, resolvers, aggregates, state, checks, loads, normalisers, cascades):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
