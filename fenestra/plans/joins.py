@@ -144,10 +144,7 @@ def set_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANGES = """
 r AS (SELECT o_custkey, c_nationkey, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS date)) AS lo, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS date)) + o_custkey % 400 AS hi
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 4 = 0 GROUP BY o_custkey, c_nationkey)"""
-
-
-_ALL_RANGES = _RANGES.replace("WHERE o_custkey % 4 = 0 ", "")
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_nationkey)"""
 
 
 def _active_ranges(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -170,13 +167,6 @@ SELECT a, b, CAST(days AS bigint) AS days FROM (SELECT *, row_number() OVER (PAR
 
 @BOOK.query(f"""
 WITH {_RANGES}{_BEST_OVERLAP_SQL}""")
-def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best overlaps among the customers that its SQL names; `interval_overlap_whole` takes all."""
-    return _overlapped_most(_active_ranges(table(spark, sf_dir, "orders").where("o_custkey % 4 = 0"), table(spark, sf_dir, "customer")))
-
-
-@BOOK.query(f"""
-WITH {_ALL_RANGES}{_BEST_OVERLAP_SQL}""")
 def interval_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best overlaps among all customers with orders."""
     return _overlapped_most(_active_ranges(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")))
@@ -240,7 +230,7 @@ def sibling_end_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VERIFIER_SQL = """
-WITH f AS (SELECT p_partkey AS f_key, p_brand AS f_brand, p_name AS f_name, p_type AS f_type FROM part WHERE p_partkey % 10 = 0),
+WITH f AS (SELECT p_partkey AS f_key, p_brand AS f_brand, p_name AS f_name, p_type AS f_type FROM part),
 m AS (SELECT f_key, p_partkey, CASE WHEN f_brand = p_brand THEN 25 ELSE 0 END + CASE WHEN f_name = p_name THEN 25 ELSE 0 END + CASE WHEN f_type = p_type THEN 25 ELSE 0 END AS score FROM f JOIN part ON (f_brand = p_brand AND f_name = p_name) OR (f_name = p_name AND f_type = p_type) WHERE f_key <> p_partkey),
 b AS (SELECT *, row_number() OVER (PARTITION BY f_key ORDER BY p_partkey) AS rn FROM m)
 SELECT f_key, p_partkey, score, CASE WHEN score >= 75 THEN 'exact' WHEN score >= 50 THEN 'probable' ELSE 'weak' END AS bucket FROM b WHERE rn = 1"""
@@ -260,13 +250,6 @@ def _verified(findings: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 @BOOK.query(_VERIFIER_SQL)
-def or_match_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the findings that its SQL names; `or_match_whole` verifies every part."""
-    parts = table(spark, sf_dir, "part")
-    return _verified(parts.where("p_partkey % 10 = 0"), parts)
-
-
-@BOOK.query(_VERIFIER_SQL.replace(" WHERE p_partkey % 10 = 0", ""))
 def or_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a finding."""
     parts = table(spark, sf_dir, "part")
@@ -316,24 +299,13 @@ def _nearest_seeds(seeds: DataFrame, asked: DataFrame, block: list[str]) -> Data
 
 
 _NEIGHBOUR_SQL = """
-WITH s AS (SELECT p_partkey AS seed, p_brand, p_size AS s_size, p_type AS s_type FROM part WHERE p_partkey % 20 = 0), q AS (SELECT * FROM part WHERE p_partkey % 20 = 1),
+WITH s AS (SELECT p_partkey AS seed, p_brand, p_size AS s_size, p_type AS s_type FROM part WHERE p_partkey % 20 = 0), q AS (SELECT * FROM part WHERE p_partkey % 20 <> 0),
 j AS (SELECT p_partkey, seed, CASE WHEN p_type = s_type THEN 0.6 ELSE 0 END + 0.4 * greatest(0, 1 - abs(p_size - s_size) / 50.0) AS score FROM q JOIN s USING (p_brand)),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, seed) AS rn FROM j WHERE score >= 0.3)
 SELECT p_partkey, seed, round(score, 6) AS score, rn AS rank, score >= 0.85 AS accepted FROM r WHERE rn <= 3"""
 
 
 @BOOK.query(_NEIGHBOUR_SQL)
-def weighted_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three nearest seeds of a block by weighted agreement, of the parts that its SQL names; `weighted_neighbour_whole` asks for all."""
-    parts = table(spark, sf_dir, "part")
-    seeds = parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"), "p_brand", F.col("p_size").alias("s_size"), F.col("p_type").alias("s_type"))
-    score = F.round(F.when(F.col("p_type") == F.col("s_type"), 0.6).otherwise(0.0) + F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("p_size") - F.col("s_size")) / 50.0) * 0.4, 9)
-    pairs = match.blocked_join(parts.where("p_partkey % 20 = 1"), seeds, ["p_brand"], score, least=0.3)
-    rank = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("score"), "seed"))
-    return pairs.withColumn("rank", rank.cast("bigint")).where("rank <= 3").select("p_partkey", "seed", F.round("score", 6).alias("score"), "rank", (F.col("score") >= 0.85).alias("accepted"))
-
-
-@BOOK.query(_NEIGHBOUR_SQL.replace("WHERE p_partkey % 20 = 1", "WHERE p_partkey % 20 <> 0"))
 def weighted_neighbour_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three nearest seeds of a block by weighted agreement, for every part that is no seed.
 
@@ -397,14 +369,6 @@ def _expanded(lines: DataFrame, parts: DataFrame) -> DataFrame:
     return lists.select("l_orderkey", F.explode("ps").alias("k")).join(parts, F.col("k") == F.col("p_partkey")).select("l_orderkey", "p_partkey", "p_name")
 
 
-@BOOK.query("""
-WITH o AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS ps FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey)
-SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(ps) AS k FROM o) JOIN part ON k = p_partkey""")
-def exploded_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of accessories of the orders that its SQL names; `exploded_list_whole` has those of all."""
-    return _expanded(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0"), table(spark, sf_dir, "part"))
-
-
 @BOOK.query("""
 WITH o AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS ps FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(ps) AS k FROM o) JOIN part ON k = p_partkey""")
@@ -477,3 +441,6 @@ def key_reverify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
+# earlier names, of queries that took only some of the keys
+for _name, _whole in (("exploded_list_join", "exploded_list_whole"), ("interval_overlap_join", "interval_overlap_whole"), ("or_match_verifier", "or_match_whole"), ("weighted_neighbour", "weighted_neighbour_whole")):
+    QUERIES[_name], ORACLES[_name] = QUERIES[_whole], ORACLES[_whole]
