@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.operators import agreement, match
+from fenestra.operators import agreement, intervals, match, upsert
 from fenestra.plans.book import Book
 from fenestra.sources.files import scratch
 from fenestra.sources.tables import table
@@ -113,4 +113,38 @@ def feature_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("asked_id").alias("c_custkey"), F.col("offered_id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
+# ---------------------------------------------------------------- fingerprints and rules
+
+
+@BOOK.query("""
+WITH n AS (SELECT l_partkey, count(*) AS samples FROM lineitem GROUP BY 1),
+f AS (SELECT p_brand, p_size AS lo, CASE WHEN p_size % 7 <> 0 THEN p_size + p_partkey % 12 END AS hi, samples, p_partkey FROM part JOIN n ON l_partkey = p_partkey),
+q AS (SELECT o_orderkey, 'Brand#' || (o_custkey % 26 + 1) AS p_brand, CAST(o_orderkey % 70 AS integer) AS size FROM orders),
+d AS (SELECT DISTINCT p_brand, size FROM q),
+b AS (SELECT d.p_brand, d.size, min((-samples, p_partkey)) AS m FROM d JOIN f ON d.p_brand = f.p_brand AND d.size >= lo AND (hi IS NULL OR d.size <= hi) GROUP BY 1, 2)
+SELECT o_orderkey, -m[1] AS samples, m[2] AS p_partkey FROM q LEFT JOIN b USING (p_brand, size)""")
+def fingerprint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every order the fingerprint of its brand whose range holds its size and that most samples support."""
+    samples = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("samples"))
+    size = F.col("p_size")
+    known = table(spark, sf_dir, "part").join(samples, "p_partkey").select("p_brand", size.alias("lo"), F.when(size % 7 != 0, size + F.col("p_partkey") % 12).alias("hi"), "samples", "p_partkey")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Brand#"), (F.col("o_custkey") % 26 + 1).cast("string")).alias("p_brand"), (F.col("o_orderkey") % 70).cast("int").alias("size"))
+    return intervals.heaviest_holding(known, asked, ["p_brand"], lo="lo", hi="hi", weight="samples", item="p_partkey", at="size", least=0, most=127).select("o_orderkey", "samples", "p_partkey")
+
+
+@BOOK.query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS hits FROM events GROUP BY 1, 2), m AS (SELECT c_nationkey, event_type, CAST(sum(hits) AS bigint) AS hits, count(*) AS users FROM c JOIN customer ON user_id = c_custkey GROUP BY 1, 2),
+s AS (SELECT c_nationkey, event_type, hits, round(hits / sum(hits) OVER (PARTITION BY c_nationkey), 6) AS confidence FROM m WHERE users >= 3),
+o AS (SELECT n_nationkey AS c_nationkey, 'view' AS event_type, 0.5 AS confidence, CAST(7 AS bigint) AS hits, CAST(1 AS bigint) AS evidence FROM nation WHERE n_nationkey % 2 = 0)
+SELECT c_nationkey, event_type, CAST(coalesce(s.confidence, o.confidence) AS double) AS confidence, greatest(s.hits, o.hits) AS hits, coalesce(o.evidence, 0) + CASE WHEN s.hits IS NULL THEN 0 ELSE 1 END AS evidence FROM o FULL JOIN s USING (c_nationkey, event_type)""")
+def seed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules by nation seeded from counters of users, through the customers' table, and merged into those that exist."""
+    hits = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"))
+    seeded = hits.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).groupBy("c_nationkey", "event_type").agg(F.sum("hits").alias("hits"), F.count("*").alias("users")).where("users >= 3")
+    totals = seeded.groupBy("c_nationkey").agg(F.sum("hits").alias("total"))
+    fresh = seeded.join(totals, "c_nationkey").select("c_nationkey", "event_type", F.round(F.col("hits") / F.col("total"), 6).alias("confidence"), "hits")
+    old = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lit("view").alias("event_type"), F.lit(0.5).alias("confidence"), F.lit(7).cast("bigint").alias("hits"), F.lit(1).cast("bigint").alias("evidence"))
+    return upsert.merge_evidence(old, fresh, ["c_nationkey", "event_type"], fill=["confidence"], most=["hits"])
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
