@@ -58,3 +58,26 @@ def either_name(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
         if have:
             out = out.withColumn(name, F.coalesce(*(rows[s] for s in have))).drop(*(s for s in have if s != name))
     return out
+
+
+def counter_rows(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """(ktype, eurocode, hit_count) of counters in one of three forms, one row for each pair: the one with most hits.
+
+    csv: a header line and plain commas; ndjson: objects, of which broken lines are skipped; seed: objects that
+    name types only, which have no code yet and so give no row until one is learned. Codes
+    are trimmed and upper-cased; rows without a type (or with 0) or a code ("undefined" and "null" are none in ndjson) are
+    left out; a missing, zero or unreadable count is 1. Numbers are read up to their first character that is no digit.
+    """
+    number = lambda c: F.try_to_number(F.nullif(F.regexp_extract(F.trim(c.cast("string")), r"^([+-]?\d+)", 1), F.lit("")), F.lit("S999999999999999999")).cast("bigint")
+    if form == "csv":
+        lines = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("quote", "\0").csv(path)
+        raw = lines.select(*(F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in ("ktype", "eurocode", "hit_count")))
+    elif form in ("ndjson", "seed"):
+        raw = spark.read.option("mode", "DROPMALFORMED").schema("ktype string, eurocode string, hit_count string").json(path)
+        raw = raw.where(~F.upper(F.trim("eurocode")).isin("UNDEFINED", "NULL")) if form == "ndjson" else raw.withColumn("eurocode", F.lit(None).cast("string"))
+    else:
+        raise ValueError(f"no such form: {form}")
+    code = F.nullif(F.upper(F.trim("eurocode")), F.lit(""))
+    hits = F.coalesce(F.nullif(number(F.col("hit_count")), F.lit(0)), F.lit(1))
+    rows = raw.select(number(F.col("ktype")).alias("ktype"), code.alias("eurocode"), hits.cast("bigint").alias("hit_count")).where("ktype <> 0 AND eurocode IS NOT NULL")
+    return rows.groupBy("ktype", "eurocode").agg(F.max("hit_count").alias("hit_count"))
