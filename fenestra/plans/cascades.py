@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.operators import agreement, intervals, match, upsert
+from fenestra.operators import agreement, articles, intervals, match, upsert
 from fenestra.plans.book import Book
 from fenestra.sources.files import scratch
 from fenestra.sources.tables import table
@@ -113,6 +113,34 @@ def feature_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("asked_id").alias("c_custkey"), F.col("offered_id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
+# ---------------------------------------------------------------- articles
+
+
+_TOKENS = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9_\\sæøåéäöü]', ' ', 'g'), '\\s+'), lambda t: length(t) > 1 AND t NOT IN ('the', 'and', 'die', 'que'))"
+
+
+@BOOK.query(f"""
+WITH b AS (SELECT item_id, {_TOKENS('text')} AS w FROM benchmark), k AS (SELECT item_id, w, list_distinct(list_filter(w, lambda t: length(t) >= 9)) AS k FROM b),
+q AS (SELECT conv_id, turn, {_TOKENS('text')} AS w FROM conversations), t AS (SELECT DISTINCT unnest(w) AS word FROM q),
+bw AS (SELECT DISTINCT item_id, unnest(w) AS o FROM b), bk AS (SELECT DISTINCT item_id, unnest(k) AS o FROM k),
+p AS (SELECT word, item_id, max(points) AS points FROM (
+  SELECT word, item_id, CASE WHEN word = o THEN 3.0 ELSE 2.0 END AS points FROM t JOIN bk ON contains(o, word)
+  UNION ALL SELECT word, item_id, CASE WHEN word = o THEN 1.0 ELSE 0.5 END FROM t JOIN bw ON contains(o, word) OR contains(word, o)) GROUP BY 1, 2),
+c AS (SELECT conv_id, turn, len(w) AS total, unnest(w) AS word FROM q),
+s AS (SELECT conv_id, turn, item_id, round(CAST(sum(points) AS double) / any_value(total), 6) AS score FROM c JOIN p USING (word) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS rn FROM s)
+SELECT conv_id, turn, item_id, score FROM r WHERE rn = 1 AND score >= 0.3""")
+def article_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every turn of every conversation the benchmark item that answers it best, its long words as keywords."""
+    stop = ["the", "and", "die", "que"]
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("article_id"), "text")
+    keyed = items.withColumn("keywords", F.array_distinct(F.filter(articles.tokens(F.col("text"), stop), lambda t: F.length(t) >= 9)))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    scored = articles.article_scores(turns, keyed, ids=["conv_id", "turn"], stop=stop).withColumn("score", F.round("score", 6))
+    best = scored.groupBy("conv_id", "turn").agg(F.min(F.struct((-F.col("score")).alias("less"), "article_id")).alias("b"))
+    return best.select("conv_id", "turn", F.col("b.article_id").alias("item_id"), (-F.col("b.less")).alias("score")).where("score >= 0.3")
+
+
 # ---------------------------------------------------------------- fingerprints and rules
 
 
