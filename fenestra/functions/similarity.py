@@ -20,8 +20,10 @@ SERIES = [
     (["bmw"], r"^(x|m|z)\s*(\d+)$"),
     (["bmw"], r"^(\d+)\s*-?\s*serie$"),
     (["audi"], r"^(a|q|tt)\s*(\d+)$"),
-    (["mercedes", "mercedes-benz", "mercedes benz"], r"^([a-e])\s*-?\s*klasse$"),
+    (["mercedes"], r"^([a-e])\s*-?\s*klasse$"),
 ]
+#: Makes that a longer name of theirs stands for, too (Mercedes-AMG); of all others the name must be the same.
+LONGER_NAMES = ["volkswagen", "mercedes"]
 #: Classes of Mercedes and their chassis codes; the first class that a name holds counts.
 CLASS_CODES = {
     "a-klasse": ["w168", "w169", "w176", "w177"], "a-class": ["w168", "w169", "w176", "w177"], "b-klasse": ["w245", "w246", "w247"], "b-class": ["w245", "w246", "w247"],
@@ -109,6 +111,14 @@ def _held_safely(a: Column, b: Column) -> Column:
     return F.contains(large, small) & ~(small.rlike(r"\d$") & behind.rlike(r"^\d"))
 
 
+def _of_make(who: Column, makes: list[str]) -> Column:
+    named = who.isin(makes)
+    for make in makes:
+        if make in LONGER_NAMES:
+            named = named | F.contains(who, F.lit(make))
+    return named
+
+
 def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
     """Whether two model names mean the same model of a make; false where either is null or empty.
 
@@ -124,12 +134,12 @@ def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
     a, b = bare(F.lower(F.trim(vehicle))), bare(F.lower(F.trim(record)))
     rules: list[tuple[Column, Column]] = [(F.coalesce(F.length(a) * F.length(b), F.lit(0)) == 0, F.lit(False)), (_held_safely(a, b), F.lit(True))]
     for makes, names, generation in GENERATION_OF:
-        known = who.isin(makes) & a.rlike("|".join(names)) & b.rlike("|".join(names))
+        known = _of_make(who, makes) & a.rlike("|".join(names)) & b.rlike("|".join(names))
         x, y = (F.regexp_extract(m, generation, 1) for m in (a, b))
         rules.append((known, (x == "") | (y == "") | (x == y)))
     for makes, pattern in SERIES:
         key = lambda m, p=pattern: F.concat_ws(" ", *(F.regexp_extract(m, p, i + 1) for i in range(p.count("(") - p.count("(?"))))
-        rules.append((who.isin(makes) & a.rlike(pattern) & b.rlike(pattern), key(a) == key(b)))
+        rules.append((_of_make(who, makes) & a.rlike(pattern) & b.rlike(pattern), key(a) == key(b)))
     # 740_760-80 stands for 740, 760 and 780
     rules.append(((who == "volvo") & a.rlike(r"^\d{3}$") & F.contains(b, F.substring(a, 2, 2)) & F.contains(b, F.substring(a, 1, 1)), F.lit(True)))
     classes = list(CLASS_CODES)
@@ -145,7 +155,8 @@ def model_equivalent(vehicle: Column, record: Column, make: Column) -> Column:
     words = lambda m: F.filter(F.split(m, "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
     common = F.filter(words(b), lambda t: F.array_contains(words(a), t))
     only = F.coalesce(F.get(common, 0), F.lit(""))
-    alone = lambda m: F.regexp_replace(F.replace(m, only, F.lit("")), "[^a-z0-9]", "") == ""
+    # without its last occurrence
+    alone = lambda m: F.regexp_replace(F.regexp_replace(m, F.concat(F.lit("^(.*)"), only), F.lit("$1")), "[^a-z0-9]", "") == ""
     telling = (F.length(only) >= 4) & (~only.isin(GENERAL_WORDS) | alone(a) | alone(b)) | (F.length(only) == 3) & (F.size(words(b)) == 1)
     rules.append((F.size(common) >= 2, F.lit(True)))
     rules.append((F.size(common) == 1, telling))

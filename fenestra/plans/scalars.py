@@ -190,6 +190,7 @@ def jaro_winkler_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Spellings of models by make, which parts are dealt out over.
 MODELS = [
+    ("volkswagen nutzfahrzeuge", "Transporter T5"), ("volkswagen nutzfahrzeuge", "Transporter T6"), ("mercedes-amg", "C-Klasse"), ("mercedes-amg", "E-Klasse"), ("mercedes-amg", "Serie W205"),
     ("volkswagen", "Transporter T5"), ("volkswagen", "Multivan T6"), ("volkswagen", "Caravelle"), ("volkswagen", "Golf Variant"), ("volvo", "XC60"), ("volvo", "XC 60"), ("volvo", "V 90"), ("volvo", "740_760-80 serie"), ("volvo", "780"),
     ("jaguar", "Jaguar I-Pace"), ("jaguar", "E-PACE"), ("mazda", "CX-5"), ("mazda", "CX 50"), ("mazda", "cx5"), ("bmw", "BMW X3"), ("bmw", "X30"), ("bmw", "3-serie"), ("bmw", "5 serie"), ("bmw", "3 serie touring"), ("audi", "A3"), ("audi", "A 3"), ("audi", "A30"), ("audi", "Q3 Sportback"),
     ("mercedes", "C-Klasse"), ("mercedes", "serie W204"), ("mercedes", "serie W211 w213b"), ("mercedes", "E-class"), ("mercedes", "Gelandewagen"), ("mercedes", "G-Klasse"), ("mercedes", "GLC"), ("mercedes", "x253"), ("mini", "Countryman"), ("mini", "Mini Countryman Cross"), ("mini", "Cooper S Cross"), ("mini", ""),
@@ -197,8 +198,9 @@ MODELS = [
 _PER_PART = f"""
 names AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {", ".join(f"('{m}', '{n}')" for m, n in MODELS)}) AS t(make, name)),
 dealt AS (SELECT p_partkey, p_brand, make, name FROM part JOIN names ON p_partkey % {len(MODELS)} = i)"""
+_MAKE_SQL = lambda makes: "(" + " OR ".join([f"make IN ({', '.join(map(repr, makes))})", *(f"contains(make, '{m}')" for m in makes if m in similarity.LONGER_NAMES)]) + ")"
 _SERIES_SQL = " ".join(
-    f"WHEN make IN ({', '.join(map(repr, makes))}) AND regexp_matches(a, '{p}') AND regexp_matches(b, '{p}') THEN " + " AND ".join(f"regexp_extract(a, '{p}', {i + 1}) = regexp_extract(b, '{p}', {i + 1})" for i in range(p.count("(")))
+    f"WHEN {_MAKE_SQL(makes)} AND regexp_matches(a, '{p}') AND regexp_matches(b, '{p}') THEN " + " AND ".join(f"regexp_extract(a, '{p}', {i + 1}) = regexp_extract(b, '{p}', {i + 1})" for i in range(p.count("(")))
     for makes, p in similarity.SERIES
 )
 _CLASS_SQL = lambda m: "CASE " + " ".join(f"WHEN contains({m}, '{c}') THEN '{c}'" for c in similarity.CLASS_CODES) + " END"
@@ -215,14 +217,14 @@ sized AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CAS
 shared AS (SELECT *, list_filter(wb, lambda t: list_contains(wa, t)) AS common FROM sized),
 told AS (SELECT make, vehicle, record, CASE WHEN a = '' OR b = '' THEN false
   WHEN contains(l, s) AND NOT (regexp_matches(s, '\d$') AND regexp_matches(substr(l, instr(l, s) + length(s), 1), '^\d')) THEN true
-  WHEN make IN ('volkswagen', 'vw') AND regexp_matches(a, 'transporter|multivan|caravelle|california') AND regexp_matches(b, 'transporter|multivan|caravelle|california')
+  WHEN (make = 'vw' OR contains(make, 'volkswagen')) AND regexp_matches(a, 'transporter|multivan|caravelle|california') AND regexp_matches(b, 'transporter|multivan|caravelle|california')
     THEN regexp_extract(a, '\b(t[456])\b', 1) = '' OR regexp_extract(b, '\b(t[456])\b', 1) = '' OR regexp_extract(a, '\b(t[456])\b', 1) = regexp_extract(b, '\b(t[456])\b', 1)
   {_SERIES_SQL}
   WHEN make = 'volvo' AND regexp_matches(a, '^\d{{3}}$') AND contains(b, substr(a, 2, 2)) AND contains(b, substr(a, 1, 1)) THEN true
   WHEN contains(make, 'mercedes') AND (coalesce(ca = cb, false) OR (regexp_matches(a, 'g-klasse|gelandewagen') AND regexp_matches(b, 'g-klasse|gelandewagen')) OR list_has_any({_ALLOWED_SQL('ca')}, ob) OR list_has_any({_ALLOWED_SQL('cb')}, oa)) THEN true
   WHEN least(length(pa), length(pb)) >= 3 AND (contains(pa, pb) OR contains(pb, pa)) AND (least(length(pa), length(pb)) >= 4 OR least(length(pa), length(pb)) >= 0.8 * greatest(length(pa), length(pb))) THEN true
   WHEN len(common) >= 2 THEN true
-  WHEN len(common) = 1 THEN (length(common[1]) >= 4 AND (common[1] NOT IN ({', '.join(map(repr, similarity.GENERAL_WORDS))}) OR regexp_replace(replace(a, common[1], ''), '[^a-z0-9]', '', 'g') = '' OR regexp_replace(replace(b, common[1], ''), '[^a-z0-9]', '', 'g') = ''))
+  WHEN len(common) = 1 THEN (length(common[1]) >= 4 AND (common[1] NOT IN ({', '.join(map(repr, similarity.GENERAL_WORDS))}) OR regexp_replace(regexp_replace(a, '^(.*)' || common[1], '\1'), '[^a-z0-9]', '', 'g') = '' OR regexp_replace(regexp_replace(b, '^(.*)' || common[1], '\1'), '[^a-z0-9]', '', 'g') = ''))
     OR (length(common[1]) = 3 AND len(wb) = 1)
   ELSE false END AS same FROM shared)
 SELECT make, vehicle, record, same FROM told""")

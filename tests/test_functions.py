@@ -25,6 +25,8 @@ def values(spark, expression, *inputs):
 
 def test_model_equivalence(spark):
     rows = [(a, b, m, False) for a, b, m in DIFFERENT] + [(a, b, m, True) for a, b, m in SAME] + [("x", None, "y", False), (None, None, None, False), ("", "", "bmw", False)]
+    rows += [("transporter t5", "transporter t6", "volkswagen nutzfahrzeuge", False), ("transporter t5", "multivan t5", "Volkswagen AG", True), ("c-klasse", "e-klasse", "mercedes-amg", False), ("c-klasse", "w205", "mercedes-amg", True)]
+    rows += [("cross cross", "cross", "mini", True), ("cross x cross", "polo cross", "vw", False), ("cross cross up", "polo cross", "vw", False)]
     df = spark.createDataFrame(rows, "a string, b string, m string, want boolean")
     assert [r.a for r in df.where(similarity.model_equivalent(F.col("a"), F.col("b"), F.col("m")) != F.col("want")).collect()] == []
 
