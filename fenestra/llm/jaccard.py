@@ -14,12 +14,14 @@ most. `Band.plan` compares both by the rows that they make and the chance meetin
 that small subsets bring. Beyond what the pigeonhole needs, segments may be left
 out; each set leaves out its smallest.
 
-Sets that share a subset are candidates; buckets with the same sets are one. In a
-bucket that many sets share, not all pairs are checked: first each set with one
-centre, then each component with the nearest set beside it, and at last all pairs
-that are left between components. Pairs are thinned by the parity of their
-shingles, a lower bound of the difference, and then verified on the sets
-themselves. Nothing that could link is left out, so components are exact.
+Sets that share a subset may link; buckets with the same sets are one. The parity of
+the shingles, a sketch, bounds the difference of two sets from below. Inside each
+bucket, sets whose sketches allow a link are joined to groups, of which only a
+spanning forest leaves the task, so that rows grow with the sets and not with their
+pairs. No link leaves its group. The sets of the groups are then verified in the
+same way on the sets themselves. Large buckets and groups are dealt into blocks:
+first each block alone, then those outside the largest component ask the other
+blocks. Nothing that could link is left out, so components are exact.
 
 Equal sets are one class from the start and are indexed once a task.
 """
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from math import exp
 
 import numpy as np
@@ -47,12 +48,10 @@ MEMORY = 300_000
 CHANCE = 75.0
 #: Bits of a sketch for each shingle, about, and its size in words at least and at most.
 SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 4, 4096
-#: Rows of one bucket that a task holds as they come, rows of a block in which it compares, and pairs that it keeps back.
+#: Rows of one bucket that a task holds as they come, rows of a block at most, about, and links that a task keeps back.
 RUN_ROWS, BLOCK, FLUSH_PAIRS = 2_000_000, 4096, 200_000
-#: Bytes of sets that one turn of verification moves with its pairs, or a quarter of all sets if that is more.
-TURN_BYTES = 32 << 20
-#: Rounds in which each component tries the nearest class beside it.
-NEAREST_ROUNDS = 1
+#: Bytes of sketches and sets of a block at most, about.
+TURN_BYTES = 8 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240501)
@@ -281,10 +280,9 @@ def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k bigint, class bigint")
 
 
-def _sets_of(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """class, n, sketch, shingles: the sets of the classes in `wanted` (class), perhaps repeated, and perhaps a few others."""
+def _sets_of(docs: DataFrame, words: int, wanted: DataFrame, whole: bool) -> DataFrame:
+    """class, n, sketch, shingles: the sets of the classes in `wanted` (class), and perhaps of a few others. Shingles are null unless `whole`."""
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(wanted).words)
-    names = ["class", "n", "sketch", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, test, met = Shingler(words), KeyFilter(shared.value), set()
@@ -294,22 +292,23 @@ def _sets_of(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 if not len(s) or (c := class_of(s)) in met or c not in test:
                     continue
                 met.add(c)
-                out.append((c, len(s), sketch(s).tobytes(), s.tobytes()))
+                out.append((c, len(s), sketch(s).tobytes(), s.tobytes() if whole else None))
                 size += 8 * len(s)
                 if size > 8 << 20:
-                    yield _columns(out, names)
+                    yield _columns(out)
                     out, size = [], 0
             if out:
-                yield _columns(out, names)
+                yield _columns(out)
             if len(met) > MEMORY:
                 met.clear()
 
-    return docs.select("text").mapInArrow(run, "class bigint, n bigint, sketch binary, shingles binary")
+    found = docs.select("text").mapInArrow(run, "class bigint, n bigint, sketch binary, shingles binary")
+    return found.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "shingles")))
 
 
-def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"class": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "shingles": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 # ---------------------------------------------------------------- buckets
@@ -385,163 +384,156 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
 
 
-def _dealt(marked: DataFrame, mode: str, space: Scratch) -> DataFrame:
-    """bucket, block, role, probe, class, component: what a bucket's rows have to be compared with, dealt into blocks.
+def _dealt(rows: DataFrame, buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """bucket, block, role, probe, class, component: the `rows` (bucket, probe, class) of `buckets` (bucket, blocks), dealt into blocks.
 
-    Of `marked` (k, class, component). Each row lies in one block of about BLOCK rows of
-    its bucket. Rows that ask come to all blocks: role 1 in their own, 2 in the others; all
-    others have role 0. In mode centre the first indexed class asks, else every row
-    that isn't in the bucket's largest component. Buckets of one component are left out.
+    Each row lies in one block of its bucket, with role 0 or 1. Without `parts` (node, component)
+    that is all. With them, rows outside their bucket's largest component (role 1) come to
+    all other blocks too, to ask there (role 2), and buckets of one component are left out.
     """
-    rows = marked.select(F.shiftright("k", 1).alias("bucket"), F.col("k").bitwiseAND(1).cast("int").alias("probe"), "class", "component")
-    first = F.min(F.when(F.col("probe") == 0, F.col("class")))
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), first.alias("centre"))
-    most = F.max(F.struct("n", "component"))
-    buckets = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.min("centre").alias("centre"), most["component"].alias("main"), F.count("*").alias("parts"))
-    blocks = F.expr(f"cast((size - 1) div {BLOCK} + 1 AS int)")
-    mixed = space.put(buckets.where("parts > 1 AND centre IS NOT NULL").select("bucket", "centre", "main", blocks.alias("blocks")))
-    asks = (F.col("class") == F.col("centre")) if mode == "centre" else (F.col("component") != F.col("main"))
     own = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int")
-    met = rows.join(mixed, "bucket").withColumn("asks", asks).withColumn("own", own)
-    met = met.withColumn("block", F.explode(F.when(F.col("asks") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    met = rows.join(buckets, "bucket").withColumn("own", own)
+    if parts is None:
+        return met.select("bucket", F.col("own").alias("block"), F.lit(0).alias("role"), "probe", "class", F.col("class").alias("component"))
+    met = met.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    sizes = met.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    met = met.join(mains, "bucket").withColumn("asks", F.col("component") != F.col("main"))
+    met = met.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array("own"))))
     return met.select("bucket", "block", F.when(~F.col("asks"), 0).when(F.col("block") == F.col("own"), 1).otherwise(2).alias("role"), "probe", "class", "component")
 
 
+def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _pairs(mode: str, percent: int):
-    """(a, b, far, part): classes of a block in different components whose sizes and sketches allow a link.
+    """(a, b): links that join the components of a block's classes, as few as do so. Rows come sorted by bucket, block and role.
 
-    Rows come sorted by bucket, block and role. A block (roles 0 and 1) is held, and the
-    asking rows (1 and 2) run past it. mode nearest: of each asking component only the pair
-    with the nearest sketches. Pairs leave as they are found.
+    Classes link if their sizes and sketches allow it and, where rows have them, their
+    shingles do. mode own: all rows of a block are compared. mode all: the block (roles 0
+    and 1) is held, and the asking rows (role 2) run past it. Classes that links have already
+    joined are not compared again; all others are.
     """
 
     class Block:
         def __init__(self, rows: list[tuple]):
-            self.role, self.probe, self.c, self.part, self.n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
-            self.words = min(len(r[5]) for r in rows) // 8
-            self.bits = np.stack([fold(np.frombuffer(r[5], np.uint64), self.words) for r in rows])
-            self.best: dict[int, tuple[int, int, int]] = {}
-
-        def ask(self, row: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Classes of the block that may link with the row's, and how far their sketches are."""
-            role, probe, c, part, n, raw = row
-            words = min(self.words, len(raw) // 8)
-            bits = self.bits if words == self.words else np.stack([fold(x, words) for x in self.bits])
-            room = (n + self.n) * (100 - percent) // (100 + percent)
-            # of two rows that both ask, one does
-            fits = (self.part != part) & (self.probe + probe < 2) & (np.minimum(n, self.n) * 100 >= np.maximum(n, self.n) * percent) & ((self.role == 0) | (self.c > c))
-            at = np.flatnonzero(fits)
-            far = np.bitwise_count(bits[at] ^ fold(np.frombuffer(raw, np.uint64), words)).sum(axis=1).astype(np.int64)
-            near = far <= room[at]
-            at, far = at[near], far[near]
+            self.role, self.probe, self.c, self.root, self.n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+            self.shingles = [r[6] for r in rows]
+            self.words = np.array([len(r[5]) // 8 for r in rows])
+            self.place = np.empty(len(rows), np.int64)  # among the rows with a sketch of that size
+            self.bits: dict[tuple[int, int], np.ndarray] = {}
+            for words in np.unique(self.words).tolist():
+                at = np.flatnonzero(self.words == words)
+                self.place[at] = np.arange(len(at))
+                self.bits[words, words] = np.stack([np.frombuffer(rows[i][5], np.uint64) for i in at])
+            self.joined: dict[int, int] = {}
+
+        def folded(self, words: int, to: int) -> np.ndarray:
+            if (words, to) not in self.bits:
+                self.bits[words, to] = np.bitwise_xor.reduce(self.bits[words, words].reshape(-1, words // to, to), axis=1)
+            return self.bits[words, to]
+
+        def near(self, at: np.ndarray, n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+            """Those of the rows `at` whose sketches allow a link, nearest first if shingles decide."""
+            asked, far = np.frombuffer(raw, np.uint64), np.empty(len(at), np.int64)
+            for words in np.unique(self.words[at]).tolist():
+                these, to = self.words[at] == words, min(words, len(asked))
+                far[these] = np.bitwise_count(self.folded(words, to)[self.place[at[these]]] ^ fold(asked, to)).sum(axis=1)
+            close = far <= (n + self.n[at]) * (100 - percent) // (100 + percent)
+            return at[close], far[close]
+
+        def ask(self, row: tuple, after: int) -> list[tuple[int, int]]:
+            """New links of the row with classes of the block from place `after`."""
+            _, probe, c, part, n, raw, shingles = row
+            while part in self.joined:
+                part = self.joined[part]
+            low = self.n[after:]
+            fits = (self.root[after:] != part) & (self.probe[after:] + probe < 2) & (np.minimum(n, low) * 100 >= np.maximum(n, low) * percent)
+            if mode == "all":  # of two rows that both ask, one does
+                fits &= (self.role == 0) | (self.c > c)
+            at = np.flatnonzero(fits) + after
             if not len(at):
-                return
-            if mode != "nearest":
-                yield self.c[at], far
-                return
-            for j in np.unique(np.concatenate(([np.lexsort((self.c[at], far))[0]], np.flatnonzero(self.role[at] == 1)))):
-                # the other one of two asking rows has this pair among its own
-                for p in (part, int(self.part[at[j]])) if self.role[at[j]] == 1 else (part,):
-                    self.best[p] = min(self.best.get(p, (1 << 40, 0, 0)), (int(far[j]), int(c), int(self.c[at[j]])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            a, b, far, part = (np.concatenate([x[i] for x in found]) for i in range(4))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)) if mode != "centre" else pa.array(a), pa.array(np.maximum(a, b)) if mode != "centre" else pa.array(b), pa.array(far), pa.array(part)], names=["a", "b", "far", "part"])
-
-        def asked(block: Block, row: tuple) -> None:
-            nonlocal size
-            for c, far in block.ask(row):
-                found.append((np.full(len(c), row[2]), c, far, np.full(len(c), row[3])))
-                size += len(c)
-
-        def closed(block: Block) -> None:
-            nonlocal size
-            if block.best:
-                x = np.array([(a, b, far, part) for part, (far, a, b) in block.best.items()], np.int64)
-                found.append((x[:, 0], x[:, 1], x[:, 2], x[:, 3]))
-                size += len(x)
-
+                return []
+            at, far = self.near(at, n, raw)
+            if shingles is None:
+                at = at[np.unique(self.root[at], return_index=True)[1]]
+            else:
+                at = at[np.argsort(far, kind="stable")]
+            out = []
+            for j in at.tolist():
+                other = int(self.root[j])
+                if other != part and (shingles is None or _links(np.frombuffer(shingles, np.uint64), np.frombuffer(self.shingles[j], np.uint64), percent)):
+                    out.append((c, int(self.c[j])))
+                    self.root[self.root == other] = part
+                    self.joined[other] = part
+            return out
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
         key, rows, block = None, [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "probe", "class", "component", "n", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "probe", "class", "component", "n", "sketch", "shingles")]
             for row in zip(*columns, strict=True):
                 if row[:2] != key:
-                    if block is None and rows:
-                        block = Block(rows)
-                        for r in rows:
-                            if r[0] == 1:
-                                asked(block, r)
-                    if block is not None:
-                        closed(block)
+                    if mode == "own" and len(rows) > 1:
+                        yield from alone(rows)
                     key, rows, block = row[:2], [], None
                 if row[2] < 2:
                     rows.append(row[2:])
                 elif rows:
-                    if block is None:
-                        block = Block(rows)
-                        for r in rows:
-                            if r[0] == 1:
-                                asked(block, r)
-                    asked(block, row[2:])
-                if size > FLUSH_PAIRS:
-                    yield out()
-                    found, size = [], 0
-        if block is None and rows:
-            block = Block(rows)
-            for r in rows:
-                if r[0] == 1:
-                    asked(block, r)
-        if block is not None:
-            closed(block)
-        if size:
-            yield out()
-
-    return run
-
+                    block = block or Block(rows)
+                    yield block.ask(row[2:], 0)
+        if mode == "own" and len(rows) > 1:
+            yield from alone(rows)
 
-# ---------------------------------------------------------------- verification
+    def alone(rows: list[tuple]) -> Iterator[list[tuple[int, int]]]:
+        block = Block(rows)
+        for i, row in enumerate(rows[:-1]):
+            yield block.ask(row, i + 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, space: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; only the sets of classes in `pairs` are moved.
-
-    All pairs are verified, but where they would move many times the bytes of all sets they
-    are taken in turns, so that what lies on disk at once is in proportion to the sets.
-    """
-    shared = KeyFilter.build(pairs.select(F.explode(F.array("a", "b")).alias("class")))
-    words = pairs.sparkSession.sparkContext.broadcast(shared.words)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = KeyFilter(words.value)
-        for batch in batches:
-            yield batch.filter(pa.array(test.test(batch.column(0).to_numpy())))
+        def out() -> pa.RecordBatch:
+            a, b = np.array(found, np.int64).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for links in blocks(batches):
+            found += links
+            if len(found) > FLUSH_PAIRS:
+                yield out()
+                found = []
+        if found:
+            yield out()
 
-    some = space.put(sets.select("class", "shingles").mapInArrow(asked, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles")))
-    mean = some.agg(F.avg(F.length("shingles"))).first()[0] or 0
-    whole = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    turns = int(pairs.count() * mean // max(TURN_BYTES, whole // 4)) + 1
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    def linked(turn: int) -> DataFrame:
-        of_turn = lambda c: F.pmod(F.xxhash64(c, F.lit("turn")), F.lit(turns)) == turn
-        first = some.where(of_turn("class")).select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-        both = pairs.where(of_turn("a")).join(first, "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
-        return space.put(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+def _joined(rows: DataFrame, sets: DataFrame, percent: int, space: Scratch) -> DataFrame | None:
+    """node, component: classes of `rows` (bucket, probe, class) that link, inside a bucket, with others; None if none does.
 
-    return reduce(DataFrame.union, map(linked, range(turns)))
+    `sets` (class, n, sketch, shingles) has what is compared: sketches alone, where shingles are null.
+    """
+    weight = sets.select("class", (F.length("sketch") + F.coalesce(F.length("shingles"), F.lit(0))).alias("bytes"))
+    sizes = rows.join(weight, "class").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.min("probe").alias("probe"))
+    blocks = F.greatest(F.expr(f"(size - 1) div {BLOCK}"), F.least(F.expr(f"(bytes - 1) div {TURN_BYTES}"), F.col("size") - 1)) + 1
+    buckets = space.put(sizes.where("size > 1 AND probe = 0").select("bucket", blocks.alias("blocks")))
+    parts = None
+    for mode in ("own", "all"):
+        if mode == "all":  # what lies in one block has been compared
+            buckets = buckets.where("blocks > 1")
+            if not buckets.limit(1).count():
+                break
+            if parts is None:
+                parts = rows.select(F.col("class").alias("node"), F.col("class").alias("component")).where("false")
+        dealt = _dealt(rows, buckets, parts if mode == "all" else None).join(sets, "class")
+        links = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role").mapInArrow(_pairs(mode, percent), "a bigint, b bigint")
+        links = space.put(links.distinct())
+        if links.limit(1).count():
+            parts = components(links) if mode == "own" else _merged(parts, links)
+    return parts
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -558,26 +550,12 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component: classes that link with others."""
     space = Scratch(docs.sparkSession, "op5")
     shared = space.put(_by_bucket(_index(docs, words, percent)).mapInArrow(_shared_buckets, "k bigint, class bigint").distinct())
-    sets = space.put(_sets_of(docs, words, shared.select("class").distinct()))
-    sketches = space.put(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    parts = tried = None
-    for mode in ("centre", *("nearest",) * NEAREST_ROUNDS, "all"):
-        marked = shared if parts is None else shared.join(parts.withColumnRenamed("node", "class"), "class", "left")
-        marked = marked.select("k", "class", (F.col("class") if parts is None else F.coalesce("component", "class")).alias("component"))
-        dealt = _dealt(marked, mode, space).join(sketches, "class")
-        pairs = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role").mapInArrow(_pairs(mode, percent), "a bigint, b bigint, far bigint, part bigint")
-        if mode == "centre":  # each class with the first of its centres
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        elif mode == "nearest":  # each component with the nearest class beside it
-            pairs = pairs.groupBy("part").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b")
-        pairs = pairs.select("a", "b").distinct()
-        pairs = space.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = _verify(pairs, sets, percent, space)
-        if parts is None or fresh.limit(1).count():
-            parts = components(fresh) if parts is None else _merged(parts, fresh)
+    rows = shared.select(F.shiftright("k", 1).alias("bucket"), F.col("k").bitwiseAND(1).cast("int").alias("probe"), "class")
+    sketches = space.put(_sets_of(docs, words, shared.select("class").distinct(), False))
+    parts = groups = _joined(rows, sketches, percent, space)
+    if groups is not None:
+        sets = space.put(_sets_of(docs, words, groups.select("node"), True))
+        parts = _joined(groups.select(F.col("component").alias("bucket"), F.lit(0).alias("probe"), F.col("node").alias("class")), sets, percent, space)
     space.drop()
     if parts is None:
         return docs.sparkSession.createDataFrame([], "node bigint, component bigint")

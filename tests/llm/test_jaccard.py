@@ -97,6 +97,33 @@ def test_blocks_and_large_buckets(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "_pairs", whole)
 
 
+def test_rows_made_grow_with_the_sets(spark, monkeypatch):
+    """A large group of near copies, of whose pairs only some link, makes rows as its index has, not a row a pair."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        w = [f"w{j}" for j in range(120)]
+        for at in rng.sample(range(120), rng.choice([4, 5, 6, 7, 7, 8, 8, 9, 9, 10])):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    made, whole = spark.sparkContext.accumulator(0), jaccard._pairs
+
+    def counted(mode, percent):
+        run = whole(mode, percent)
+
+        def counting(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    got = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=1, percent=80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 1, 80)
+    assert made.value < 40 * len(rows)
+
+
 def test_runs_of_large_buckets(monkeypatch):
     rng = np.random.default_rng(2)
     for most in (3, 10, 1000):
