@@ -124,6 +124,20 @@ def test_rows_made_grow_with_the_sets(spark, monkeypatch):
     assert made.value < 40 * len(rows)
 
 
+def test_pairs_below_the_threshold_leave_no_rows():
+    """Sets just too far apart make one group by their sketches, a forest and no pairs, and no link by their shingles."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[:188], rng.integers(0, 1 << 63, 12, dtype=np.uint64)))) for _ in range(120)]
+    row = lambda i, s, whole: {"bucket": 1, "block": 0, "role": 0, "probe": 0, "class": i, "component": i, "n": len(s), "sketch": jaccard.sketch(s).tobytes(), "shingles": s.tobytes() if whole else None}
+    made = []
+    for whole in (False, True):
+        batch = pa.RecordBatch.from_pylist([row(i, s, whole) for i, s in enumerate(sets)])
+        made.append(sum(b.num_rows for b in jaccard._pairs("own", 80)(iter([batch]))))
+    linked = [(i, j) for i in range(120) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    assert 60 < made[0] < 120 and made[1] <= len(linked)
+
+
 def test_runs_of_large_buckets(monkeypatch):
     rng = np.random.default_rng(2)
     for most in (3, 10, 1000):
