@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenestra.functions import semantics, similarity
-from fenestra.operators import match
+from fenestra.operators import match, overlaps
 from fenestra.plans.book import Book
 from fenestra.sources.tables import table
 
@@ -149,16 +149,7 @@ r AS (SELECT o_custkey, c_nationkey, date_diff('day', DATE '1990-01-01', CAST(mi
 
 def _active_ranges(orders: DataFrame, customers: DataFrame) -> DataFrame:
     first = orders.groupBy("o_custkey").agg(F.datediff(F.min("o_orderdate"), F.lit("1990-01-01")).alias("lo"))
-    return first.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "c_nationkey", "lo", (F.col("lo") + F.col("o_custkey") % 400).alias("hi"))
-
-
-def _overlapped_most(r: DataFrame) -> DataFrame:
-    """Of each range the later one of its block that it overlaps most; ranges are dealt into bins, each of which sends one partner a range."""
-    a, b = r.select(F.col("o_custkey").alias("a"), "c_nationkey", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")), r.select(F.col("o_custkey").alias("b"), "c_nationkey", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    pairs = match.overlap_join(a, b, ["c_nationkey"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), bin_size=120).where("a < b")
-    days = semantics.overlap_length(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")).cast("bigint")
-    best = pairs.groupBy("a").agg(F.max(F.struct(days.alias("days"), (-F.col("b")).alias("b"))).alias("m"))
-    return best.select("a", (-F.col("m.b")).alias("b"), "m.days")
+    return first.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "c_nationkey", "lo", (F.col("lo") + F.col("o_custkey") % 400).alias("hi")).distinct()
 
 
 _BEST_OVERLAP_SQL = """, p AS (SELECT a.o_custkey AS a, b.o_custkey AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1 AS days FROM r a JOIN r b ON a.c_nationkey = b.c_nationkey AND a.o_custkey < b.o_custkey AND a.lo <= b.hi AND b.lo <= a.hi)
@@ -168,8 +159,9 @@ SELECT a, b, CAST(days AS bigint) AS days FROM (SELECT *, row_number() OVER (PAR
 @BOOK.query(f"""
 WITH {_RANGES}{_BEST_OVERLAP_SQL}""")
 def interval_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best overlaps among all customers with orders."""
-    return _overlapped_most(_active_ranges(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")))
+    """Best overlaps among all customers with orders, without their pairs."""
+    ranges = _active_ranges(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    return overlaps.overlapped_most(ranges.withColumnRenamed("o_custkey", "id"), ["c_nationkey"])
 
 
 @BOOK.query("""
