@@ -25,7 +25,7 @@ def test_greatest_overlaps_against_every_pair(spark, chunk):
     assert sorted(map(tuple, overlapped_most(ranges, ["block"], chunk=chunk).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["interval_overlap_join"])
+@pytest.mark.parametrize("name", ["interval_overlap_join", "interval_overlap_whole"])
 def test_ranges_are_not_joined_with_each_other(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # orders with customers
