@@ -136,9 +136,7 @@ def article_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("article_id"), "text")
     keyed = items.withColumn("keywords", F.array_distinct(F.filter(articles.tokens(F.col("text"), stop), lambda t: F.length(t) >= 9)))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    scored = articles.article_scores(turns, keyed, ids=["conv_id", "turn"], stop=stop).withColumn("score", F.round("score", 6))
-    best = scored.groupBy("conv_id", "turn").agg(F.min(F.struct((-F.col("score")).alias("less"), "article_id")).alias("b"))
-    return best.select("conv_id", "turn", F.col("b.article_id").alias("item_id"), (-F.col("b.less")).alias("score")).where("score >= 0.3")
+    return articles.best_articles(turns, keyed, ids=["conv_id", "turn"], stop=stop, digits=6).withColumnRenamed("article_id", "item_id")
 
 
 # ---------------------------------------------------------------- fingerprints and rules

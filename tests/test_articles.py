@@ -1,6 +1,8 @@
 import random
 import re
 
+from fenestra import registry
+from fenestra.operators import articles as module
 from fenestra.operators.articles import article_scores, best_articles
 
 STOP = ["the", "og"]
@@ -34,3 +36,26 @@ def test_scores_against_every_pair(spark):
     for a, _, _ in questions:
         own = sorted((-s, i) for (x, i), s in want.items() if x == a)
         assert best.get(a) == (own[0][1] if own and -own[0][0] >= 0.3 else None)
+
+
+def test_best_over_blocks_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(module, "QUESTIONS", 20)
+    monkeypatch.setattr(module, "ARTICLES", 290)  # two shards, one of them over what is scored at a time
+    rng = random.Random(3)
+    syllables = ["gla", "ss", "fro", "nt", "a", "rute", "é", "hva", "x1"]
+    text = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(0, n)))
+    articles = [(f"i{i:03}", text(4), [text(1)]) for i in range(570)] + [("a", None, None), ("b", "fro rute", []), ("c", "fro rute", [])]
+    questions = [(rng.choice([None, 1, 2]), i, text(6)) for i in range(60)] + [(1, 100, "fro rute"), (None, 101, None)]
+    frames = spark.createDataFrame(questions, "a int, b int, text string"), spark.createDataFrame(articles, "article_id string, text string, keywords array<string>")
+    got = {(r.a, r.b): (r.article_id, r.score) for r in best_articles(*frames, ids=["a", "b"], stop=STOP, digits=6).collect()}
+    want = {}
+    for a, b, q in questions:
+        less, item = min((-round(by_hand(q, t, k), 6), i) for i, t, k in articles)
+        if -less >= 0.3:
+            want[a, b] = item, -less
+    assert got == want
+
+
+def test_no_row_a_question_and_article(spark):
+    plan = registry.QUERIES["article_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[conv_id#\d+L?, turn#\d+L?, (article|item)_id", plan)
