@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenestra.functions import semantics, similarity
-from fenestra.operators import match, overlaps
+from fenestra.operators import match, overlaps, within
 from fenestra.plans.book import Book
 from fenestra.sources.tables import table
 
@@ -187,14 +187,18 @@ def nearest_by_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH j AS (SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 25 = s_nationkey AND abs(p_retailprice - s_acctbal) < 800 AND p_size >= s_suppkey % 10)
 SELECT p_partkey, list_aggregate(list_sort(list(s_suppkey))[1:5], 'string_agg', ',') AS suppliers, count(*) AS n FROM j GROUP BY p_partkey""")
 def theta_multi_predicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality on the block, further predicates as residual, a capped list as the result with the whole count beside it."""
-    parts, suppliers = table(spark, sf_dir, "part").withColumn("block", F.col("p_partkey") % 25), table(spark, sf_dir, "supplier").withColumn("block", F.col("s_nationkey").cast("bigint"))
-    rest = (F.abs(F.col("p_retailprice") - F.col("s_acctbal")) < 800) & (F.col("p_size") >= F.col("s_suppkey") % 10)
-    pairs = match.blocked_join(parts, suppliers, ["block"], F.lit(1.0), residual=rest)
-    # suppliers are ranked before any list is made, so that no list has more than five
-    of_part = Window.partitionBy("p_partkey")
-    ranked = pairs.withColumn("rank", F.row_number().over(of_part.orderBy("s_suppkey"))).withColumn("n", F.count("*").over(of_part)).where("rank <= 5")
-    return ranked.groupBy("p_partkey", "n").agg(F.array_join(F.sort_array(F.collect_list("s_suppkey")), ",").alias("suppliers")).select("p_partkey", "suppliers", "n")
+    """Equality on the block, a range of prices and a bound on sizes, a capped list as the result with the whole count beside it.
+
+    Suppliers are offered for each of the sizes 0 to 9 that they are good for, larger ones ask as 9, and equal questions are asked once.
+    """
+    block, size = F.col("p_partkey") % 25, F.least("p_size", F.lit(9))
+    parts = table(spark, sf_dir, "part").where("p_size IS NOT NULL").select("p_partkey", block.alias("block"), size.cast("bigint").alias("size"), F.col("p_retailprice").cast("double").alias("at"))
+    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey IS NOT NULL").select(
+        F.col("s_nationkey").cast("bigint").alias("block"), F.explode(F.sequence(F.col("s_suppkey") % 10, F.lit(9).cast("bigint"))).alias("size"), F.col("s_acctbal").cast("double").alias("value"), F.col("s_suppkey").alias("item")
+    )
+    near = within.least_within(parts, suppliers, ["block", "size"], reach=800.0, keep=5)
+    met = parts.join(near, ["block", "size", "at"]).groupBy("p_partkey").agg(within.least_of("items", 5).alias("items"), F.sum("n").alias("n"))
+    return met.select("p_partkey", F.array_join(F.col("items").cast("array<string>"), ",").alias("suppliers"), "n")
 
 
 @BOOK.query("""
