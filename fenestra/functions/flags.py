@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -18,6 +19,17 @@ def flag_tokens(text: Column) -> Column:
     return F.filter(F.split(F.upper(text), SEPARATORS), lambda t: t != "")
 
 
+def up_to(text: Column, word: str) -> Column:
+    """The text up to the first token `word`, in either case, with the token after it; empty if there is none. Tokens are runs of ASCII letters and digits."""
+    first, *rest = (f"[{c.lower()}{c.upper()}]" for c in word)
+    return F.regexp_extract(text, rf"(?s)^.*?{first}(?<![A-Za-z0-9].){''.join(rest)}(?![A-Za-z0-9])[^A-Za-z0-9]*[A-Za-z0-9]*", 0)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is named; plain columns would be computed at every place."""
+    return F.transform(F.array(value), use)[0]
+
+
 def mentioned(tokens: Column, words: list[str], *, negations: list[str] = NEGATIONS, window: int = WINDOW) -> Column:
     """Null if none of the words occurs, else whether one occurs, at its first place, without negation.
 
@@ -25,14 +37,16 @@ def mentioned(tokens: Column, words: list[str], *, negations: list[str] = NEGATI
     """
     no = F.array(*map(F.lit, negations))
 
-    def plain(word: str) -> Column:
-        at = F.array_position(tokens, word)
-        before = F.slice(tokens, F.greatest(F.lit(1), at - window).cast("int"), F.greatest(F.lit(0), F.least(F.lit(window), at - 1)).cast("int"))
-        after = F.slice(tokens, (F.greatest(at, F.lit(0)) + 1).cast("int"), F.lit(1))
+    def near(t: Column, at: Column) -> Column:
+        before = F.slice(t, F.greatest(F.lit(1), at - window).cast("int"), F.greatest(F.lit(0), F.least(F.lit(window), at - 1)).cast("int"))
+        after = F.slice(t, (F.greatest(at, F.lit(0)) + 1).cast("int"), F.lit(1))
         return F.when(at == 0, F.lit(None)).otherwise(~F.arrays_overlap(before, no) & ~F.arrays_overlap(after, no))
 
-    found = F.array_compact(F.array(*map(plain, words)))
-    return F.when(F.size(found) == 0, F.lit(None).cast("boolean")).otherwise(F.array_contains(found, True))
+    def found(t: Column) -> Column:
+        return F.array_compact(F.array(*(once(F.array_position(t, word), lambda at: near(t, at)) for word in words)))
+
+    verdict = lambda f: F.when(F.size(f) == 0, F.lit(None).cast("boolean")).otherwise(F.array_contains(f, True))
+    return once(tokens, lambda t: once(found(t), verdict))
 
 
 def text_first(from_text: Column, from_column: Column) -> Column:

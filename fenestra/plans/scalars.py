@@ -59,8 +59,8 @@ u AS (SELECT doc_id, list_transform(raw, lambda x: upper(x)) AS w FROM t),
 p AS (SELECT doc_id, w, list_position(w, 'THE') AS i FROM u)
 SELECT doc_id, CASE WHEN i IS NULL OR i = 0 THEN NULL ELSE NOT (list_has_any(w[greatest(1, i - 3):i - 1], ['OF', 'NOT']) OR list_has_any(w[i + 1:i + 1], ['OF', 'NOT'])) END AS flag FROM p""")
 def negation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a word's first place is without negation near it; null where it doesn't occur."""
-    clean = flags.flag_tokens(F.regexp_replace("text", "[^A-Za-z0-9 .,]", " "))
+    """Whether a word's first place is without negation near it; null where it doesn't occur. What comes after that place is not cut into tokens."""
+    clean = flags.flag_tokens(F.regexp_replace(flags.up_to(F.col("text"), "THE"), "[^A-Za-z0-9 .,]", " "))
     return table(spark, sf_dir, "documents").select("doc_id", flags.mentioned(clean, ["THE"], negations=["OF", "NOT"]).alias("flag"))
 
 
