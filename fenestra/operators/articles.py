@@ -77,7 +77,7 @@ def _best_of_block(ids: list[str], digits: int | None):
             column = questions[c].combine_chunks().dictionary_encode("encode")
             code = np.unique(code * (len(column.dictionary) + 1) + column.indices.to_numpy(), return_inverse=True)[1]
         first = np.unique(code, return_index=True)[1]
-        texts = questions["t"].combine_chunks()
+        texts = pc.split_pattern(questions["t"].combine_chunks(), " ")
         word = pc.index_in(texts.flatten(), value_set=lists["word"].combine_chunks()).fill_null(-1).to_numpy().astype(np.int64)
         asker = np.repeat(code, pc.list_value_length(texts).to_numpy())[word >= 0]
         cells, times = np.unique(asker * max(lists.num_rows, 1) + word[word >= 0], return_counts=True)
@@ -147,8 +147,9 @@ def best_articles(questions: DataFrame, articles: DataFrame, *, ids: list[str],
     blocks = max(-(-questions.count() // QUESTIONS), 1)
     asked = questions.select(*ids, tokens(F.col("text"), stop).alias("t"), F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("int").alias("block")).withColumn("total", F.size("t"))
     seen = asked.select("block", F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    words = seen.where(F.size("blocks") > 0).select(F.col("word").alias("inner"))  # always so, but all uses of `seen` have the same columns and share one shuffle
     outer = lambda key: numbered.where(F.col("key") == key).select("outer").distinct()
-    by_key, by_text = _word_points(seen.select(F.col("word").alias("inner")), outer(True), outer(False))
+    by_key, by_text = _word_points(words, outer(True), outer(False))
     pairs = by_key.withColumn("key", F.lit(True)).unionByName(by_text.withColumn("key", F.lit(False))).join(numbered, ["key", "outer"])
     lists = pairs.repartition("word").groupBy("word", "shard").agg(F.collect_list((F.col("feat") * 8 + F.col("points") * 2).cast("int")).alias("feats"))
     nothing = F.lit(None).cast(dict(articles.dtypes)["article_id"]).alias("article_id")
@@ -158,7 +159,7 @@ def best_articles(questions: DataFrame, articles: DataFrame, *, ids: list[str],
     dealt = lambda d, *to: d.repartition(parts, *to).groupBy(*to)
     kinds = dict(questions.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), f"article_id {dict(articles.dtypes)['article_id']}", "score double"])
-    copied = asked.select(*ids, "t", "total", F.col("block").alias("own_block"), every("own_shard", shards))
+    copied = asked.select(*ids, F.array_join("t", " ").alias("t"), "total", F.col("block").alias("own_block"), every("own_shard", shards))
     found = dealt(copied, "own_block", "own_shard").cogroup(dealt(known, "block", "shard")).applyInArrow(_best_of_block(ids, digits), schema)
     rounded = F.col("score") if digits is None else F.round("score", digits)
     best = found.withColumn("score", rounded).groupBy(*ids).agg(F.min(F.struct((-F.col("score")).alias("less"), "article_id")).alias("__best"))
